@@ -17,6 +17,8 @@ from locigrid.operators.joins import join_null_safe
 from locigrid.session import cut_lineage
 
 BUCKET = "__bucket"
+GROUP = "__group"
+KEYS = [GROUP, BUCKET]
 HASH_BUCKETS = 4096
 
 
@@ -75,12 +77,31 @@ def rank_in_group(
     )
 
 
+def _bucketed(
+    df: DataFrame, group: Sequence[str], order: Sequence[Column], bucket: Column | None
+) -> DataFrame:
+    """``df`` with its group as one struct key and the bucket of each row.
+
+    The struct is never NULL itself, so missing group values match, and windows,
+    summaries and joins all share one partitioning.
+    """
+    if bucket is None:
+        df = place_in_order(df, [*group, *order]).drop("__place")
+    else:
+        df = df.withColumn(BUCKET, bucket)
+    return df.withColumn(GROUP, F.struct(*group) if group else F.lit(0))
+
+
 class OrderedScan:
     """Windows over (group, order) in two levels.
 
     ``bucket`` is an expression that never decreases along ``order`` and keeps
     the rows of one (group, bucket) few, such as a tile of a coordinate or the
     leading digits of a hash. Without it the rows are range-partitioned.
+
+    Steps are collected and run together by ``result``: one shuffle of the rows,
+    one summary row per bucket, one join. Their values may use the columns of
+    ``df`` only, and ``order`` must be ascending.
     """
 
     def __init__(
@@ -90,96 +111,84 @@ class OrderedScan:
         order: Sequence[str | Column],
         bucket: Column | None = None,
     ) -> None:
-        self.group = list(group)
         self.order = _cols(order)
-        if bucket is None:
-            df = place_in_order(df, [*self.group, *self.order]).drop("__place")
-        else:
-            df = df.withColumn(BUCKET, bucket)
-        self.keys = [*self.group, BUCKET]
-        self.df = df
-
-    def _inner(self) -> WindowSpec:
-        return Window.partitionBy(*self.keys).orderBy(*self.order)
-
-    def _carry(
-        self, summaries: dict[str, Column], carried: Callable[[WindowSpec], dict[str, Column]]
-    ) -> DataFrame:
-        per_bucket = self.df.groupBy(*self.keys).agg(
-            *[col.alias(name) for name, col in summaries.items()]
-        )
-        outer = Window.partitionBy(*self.group).orderBy(BUCKET)
-        state = per_bucket.select(
-            *self.keys, *[col.alias(name) for name, col in carried(outer).items()]
-        )
-        return join_null_safe(self.df, state, self.keys)
-
-    def _emit(self, df: DataFrame) -> OrderedScan:
-        out = object.__new__(OrderedScan)
-        out.group, out.order, out.keys, out.df = self.group, self.order, self.keys, df
-        return out
-
-    def running_sum(self, value: Column, name: str, inclusive: bool = True) -> OrderedScan:
-        """Prefix sum of ``value`` in order."""
-        end = Window.currentRow if inclusive else -1
-        df = self._carry(
-            {"__total": F.sum(value)},
-            lambda w: {
-                "__base": F.coalesce(
-                    F.sum("__total").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-                )
-            },
-        )
-        inner = F.sum(value).over(self._inner().rowsBetween(Window.unboundedPreceding, end))
-        return self._emit(
-            df.withColumn(name, F.coalesce(inner, F.lit(0)) + F.col("__base")).drop("__base")
+        self.df = _bucketed(df, list(group), self.order, bucket)
+        self.inner_cols: dict[str, Column] = {}
+        self.summaries: dict[str, Column] = {}
+        self.carried: dict[str, Callable[[WindowSpec], Column]] = {}
+        self.outputs: dict[str, Column] = {}
+
+    def _window(self) -> WindowSpec:
+        return Window.partitionBy(*KEYS).orderBy(*self.order)
+
+    def _add(
+        self,
+        name: str,
+        inner: Column,
+        summary: Column,
+        carry: Callable[[Column, WindowSpec], Column],
+        combine: Callable[[Column, Column], Column],
+    ) -> OrderedScan:
+        n = len(self.outputs)
+        self.inner_cols[f"__in{n}"] = inner
+        self.summaries[f"__sum{n}"] = summary
+        self.carried[f"__carry{n}"] = lambda w: carry(F.col(f"__sum{n}"), w)
+        self.outputs[name] = combine(F.col(f"__in{n}"), F.col(f"__carry{n}"))
+        return self
+
+    def running_sum(self, value: Column, name: str) -> OrderedScan:
+        """Prefix sum of ``value`` in order, the row itself included."""
+        rows = self._window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return self._add(
+            name,
+            F.sum(value).over(rows),
+            F.sum(value),
+            lambda total, w: F.sum(total).over(w.rowsBetween(Window.unboundedPreceding, -1)),
+            lambda inner, base: F.coalesce(inner, F.lit(0)) + F.coalesce(base, F.lit(0)),
         )
 
     def lag(self, value: Column, name: str) -> OrderedScan:
         """Value of the row before, NULL on the first row of the group."""
-        place = F.struct(*self.order)
-        df = self._carry(
-            {"__last": F.max_by(F.struct(value.alias("v")), place)},
-            lambda w: {"__before": F.lag("__last").over(w)},
-        )
         # Structs keep "no row before" apart from "NULL in the row before".
-        inner = F.lag(F.struct(value.alias("v"))).over(self._inner())
-        return self._emit(
-            df.withColumn(name, F.coalesce(inner, F.col("__before"))["v"]).drop("__before")
+        boxed = F.struct(value.alias("v"))
+        return self._add(
+            name,
+            F.lag(boxed).over(self._window()),
+            F.max_by(boxed, F.struct(*self.order)),
+            lambda last, w: F.lag(last).over(w),
+            lambda inner, before: F.coalesce(inner, before)["v"],
         )
 
     def lead(self, value: Column, name: str) -> OrderedScan:
         """Value of the row after, NULL on the last row of the group."""
-        place = F.struct(*self.order)
-        df = self._carry(
-            {"__first": F.min_by(F.struct(value.alias("v")), place)},
-            lambda w: {"__after": F.lead("__first").over(w)},
-        )
-        inner = F.lead(F.struct(value.alias("v"))).over(self._inner())
-        return self._emit(
-            df.withColumn(name, F.coalesce(inner, F.col("__after"))["v"]).drop("__after")
+        boxed = F.struct(value.alias("v"))
+        return self._add(
+            name,
+            F.lead(boxed).over(self._window()),
+            F.min_by(boxed, F.struct(*self.order)),
+            lambda first, w: F.lead(first).over(w),
+            lambda inner, after: F.coalesce(inner, after)["v"],
         )
 
     def fill_down(self, value: Column, name: str) -> OrderedScan:
         """Last non-NULL value up to and including the row."""
-        place = F.struct(*self.order)
-        df = self._carry(
-            {"__last": F.max_by(value, F.when(value.isNotNull(), place))},
-            lambda w: {
-                "__before": F.last("__last", ignorenulls=True).over(
-                    w.rowsBetween(Window.unboundedPreceding, -1)
-                )
-            },
-        )
-        inner = F.last(value, ignorenulls=True).over(
-            self._inner().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        )
-        return self._emit(
-            df.withColumn(name, F.coalesce(inner, F.col("__before"))).drop("__before")
+        rows = self._window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return self._add(
+            name,
+            F.last(value, ignorenulls=True).over(rows),
+            F.max_by(value, F.when(value.isNotNull(), F.struct(*self.order))),
+            lambda last, w: F.last(last, ignorenulls=True).over(
+                w.rowsBetween(Window.unboundedPreceding, -1)
+            ),
+            F.coalesce,
         )
 
     def result(self) -> DataFrame:
-        return self.df.drop(BUCKET)
+        per_bucket = self.df.groupBy(*KEYS).agg(*[c.alias(n) for n, c in self.summaries.items()])
+        outer = Window.partitionBy(GROUP).orderBy(BUCKET)
+        state = per_bucket.select(*KEYS, *[make(outer).alias(n) for n, make in self.carried.items()])
+        joined = self.df.withColumns(self.inner_cols).join(state, KEYS)
+        return joined.withColumns(self.outputs).drop(*KEYS, *self.inner_cols, *self.carried)
 
 
 def seeded_hash(*parts: Column | str | int) -> Column:
@@ -215,14 +224,15 @@ def take_until(
     Bucket totals decide most rows: only the bucket in which the budget runs
     out is sorted.
     """
-    keys = [*group, BUCKET]
-    placed = df.withColumn(BUCKET, bucket).withColumn("__value", value)
-    totals = placed.groupBy(*keys).agg(F.sum("__value").alias("__total"))
-    before = Window.partitionBy(*group).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    placed = df.withColumns(
+        {BUCKET: bucket, "__value": value, GROUP: F.struct(*group) if group else F.lit(0)}
+    )
+    totals = placed.groupBy(*KEYS).agg(F.sum("__value").alias("__total"))
+    before = Window.partitionBy(GROUP).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.withColumn("__base", F.coalesce(F.sum("__total").over(before), F.lit(0)))
-    marked = join_null_safe(placed, totals, keys).filter(F.col("__base") < budget)
+    marked = placed.join(totals, KEYS).filter(F.col("__base") < budget)
     whole = F.col("__base") + F.col("__total") < budget
-    inner = Window.partitionBy(*keys).orderBy(*_cols(order))
+    inner = Window.partitionBy(*KEYS).orderBy(*_cols(order))
     inner = inner.rowsBetween(Window.unboundedPreceding, -1)
     kept = marked.filter(whole)
     cut = (
@@ -231,7 +241,7 @@ def take_until(
         .filter(F.col("__base") + F.col("__before") < budget)
         .drop("__before")
     )
-    return kept.unionByName(cut).drop(BUCKET, "__value", "__total", "__base")
+    return kept.unionByName(cut).drop(*KEYS, "__value", "__total", "__base")
 
 
 def fill_down(
@@ -242,20 +252,60 @@ def fill_down(
 
 
 def consecutive_runs(
-    df: DataFrame, group: Sequence[str], start: str, end: str, run: str = "run", place: str = "place"
+    df: DataFrame,
+    group: Sequence[str],
+    start: str,
+    end: str,
+    run: str = "run",
+    place: str = "place",
+    bucket: Column | None = None,
 ) -> DataFrame:
     """Number the runs of rows in which each row starts right after the end of
-    the row before it, and the place of each row in its run (both 1-based)."""
-    scan = OrderedScan(df, group, [start, end]).lag(F.col(end), "__prev")
-    breaks = F.coalesce((F.col("__prev") + 1 != F.col(start)).cast("long"), F.lit(1))
-    scan = scan.running_sum(breaks, run).running_sum(F.lit(1), "__n")
-    rows = scan.result().drop("__prev")
-    firsts = rows.groupBy(*group, run).agg(F.min("__n").alias("__first"))
-    return (
-        join_null_safe(rows, firsts, [*group, run])
-        .withColumn(place, F.col("__n") - F.col("__first") + 1)
-        .drop("__n", "__first")
+    the row before it, and the place of each row in its run (both 1-based).
+
+    Inside a bucket the first row is left open. The bucket summaries decide
+    whether it continues a run and how many runs and rows came before.
+    """
+    rows = _bucketed(df, group, _cols([start, end]), bucket)
+    window = Window.partitionBy(*KEYS).orderBy(start, end)
+    upto = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    breaks = F.coalesce((F.lag(end).over(window) + 1 != F.col(start)).cast("long"), F.lit(0))
+    rows = rows.withColumns({"__n": F.row_number().over(window).cast("long"), "__break": breaks})
+    rows = rows.withColumns(
+        {
+            "__runs": F.sum("__break").over(upto),
+            "__at": F.max(F.when(F.col("__break") == 1, F.col("__n"))).over(upto),
+        }
+    )
+    per_bucket = rows.groupBy(*KEYS).agg(
+        F.min(F.struct(start, end))[start].alias("__first"),
+        F.max(F.struct(start, end))[end].alias("__last"),
+        F.count("*").alias("__size"),
+        F.sum("__break").alias("__inner"),
+        F.max("__at").alias("__last_at"),
+    )
+    outer = Window.partitionBy(GROUP).orderBy(BUCKET)
+    before = outer.rowsBetween(Window.unboundedPreceding, -1)
+    opens = F.coalesce((F.lag("__last").over(outer) + 1 != F.col("__first")).cast("long"), F.lit(1))
+    state = per_bucket.withColumn("__opens", opens).withColumns(
+        {
+            "__rows_before": F.coalesce(F.sum("__size").over(before), F.lit(0)),
+            "__runs_before": F.coalesce(F.sum(F.col("__opens") + F.col("__inner")).over(before), F.lit(0)),
+        }
     )
+    # Row number, in the group, of the latest run start up to the bucket's first row.
+    own = F.when(F.col("__opens") == 1, F.col("__rows_before") + 1)
+    latest = F.coalesce(F.col("__rows_before") + F.col("__last_at"), own)
+    state = state.withColumn("__from", F.coalesce(own, F.last(latest, ignorenulls=True).over(before)))
+    state = state.select(*KEYS, "__opens", "__rows_before", "__runs_before", "__from")
+    joined = rows.join(state, KEYS)
+    started = F.coalesce(F.col("__rows_before") + F.col("__at"), F.col("__from"))
+    return joined.withColumns(
+        {
+            run: F.col("__runs_before") + F.col("__opens") + F.col("__runs"),
+            place: F.col("__rows_before") + F.col("__n") - started + 1,
+        }
+    ).select(*df.columns, run, place)
 
 
 def first_per_group(df: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:

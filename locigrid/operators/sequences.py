@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from locigrid.functions.text import header_parts, parse_range
 from locigrid.operators.joins import anti, join_null_safe, semi
 from locigrid.operators.scans import consecutive_runs
+from locigrid.session import cut_lineage
 
 # Nucleotide codes, the bases each stands for, and its complement.
 IUPAC_BASES = {
@@ -23,6 +24,9 @@ IUPAC_COMPLEMENT = {
     "B": "V", "D": "H", "H": "D", "V": "B", "N": "N",
 }
 
+# Bases of a contig whose windows are put in order together.
+SPAN = 1 << 24
+
 # Bases searched for motifs in one piece.
 CHUNK = 8_192
 
@@ -60,9 +64,16 @@ def concat_first_run(frags: DataFrame, n: int = 80, order: str = "row_order") ->
     parsed = frags.withColumns(
         {"__sample": sample, "__contig": contig, "__start": start, "__end": end}
     )
-    windows = parsed.filter(F.col("__start").isNotNull() & F.col("__end").isNotNull()).drop("seq")
-    runs = consecutive_runs(windows, ["__sample", "__contig"], "__start", "__end", "__run", "__place")
-    per_contig = windows.groupBy("__sample", "__contig").agg(F.min(order).alias("__first"))
+    windows = parsed.filter(F.col("__start").isNotNull() & F.col("__end").isNotNull())
+    # Written once without the sequences, as several steps below read it.
+    runs = cut_lineage(
+        consecutive_runs(
+            windows.select(order, "__sample", "__contig", "__start", "__end"),
+            ["__sample", "__contig"], "__start", "__end", "__run", "__place",
+            bucket=F.floor(F.col("__start") / F.lit(SPAN)),
+        )
+    )
+    per_contig = runs.groupBy("__sample", "__contig").agg(F.min(order).alias("__first"))
     long_runs = runs.groupBy("__sample", "__contig", "__run").agg(
         F.count("*").alias("__n"), F.min("__start").alias("__from")
     )

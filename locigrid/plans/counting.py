@@ -13,6 +13,8 @@ from locigrid.plans.standins import (
     SCORED,
     contig_bin,
     embeddings,
+    exact_mean,
+    exact_mean_sql,
     hash_share,
     hash_share_sql,
     minute,
@@ -25,15 +27,15 @@ from locigrid.plans.standins import (
 
 @query(
     "A01 A02 A03 A04",
-    """SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 4) AS total,
-         round(avg(l_extendedprice), 6) AS mean, max(l_discount) AS top FROM lineitem GROUP BY 1, 2""",
+    f"""SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 4) AS total,
+         {exact_mean_sql("l_extendedprice")} AS mean, max(l_discount) AS top FROM lineitem GROUP BY 1, 2""",
 )
 def group_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Count, sum, mean and maximum in one pass."""
     return table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(
         F.count("*").alias("n"),
         F.round(F.sum("l_quantity"), 4).alias("total"),
-        r6(F.avg("l_extendedprice")).alias("mean"),
+        exact_mean("l_extendedprice").alias("mean"),
         F.max("l_discount").alias("top"),
     )
 
@@ -61,11 +63,11 @@ def median_of_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "A07",
-    "SELECT l_suppkey, round(avg(l_quantity), 6) AS mean, round(stddev_samp(l_quantity), 6) AS sd FROM lineitem GROUP BY 1",
+    f"SELECT l_suppkey, {exact_mean_sql('l_quantity')} AS mean, round(stddev_samp(l_quantity), 6) AS sd FROM lineitem GROUP BY 1",
 )
 def mean_and_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(
-        r6(F.avg("l_quantity")).alias("mean"), r6(F.stddev_samp("l_quantity")).alias("sd")
+        exact_mean("l_quantity").alias("mean"), r6(F.stddev_samp("l_quantity")).alias("sd")
     )
 
 
@@ -442,14 +444,14 @@ def motif_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "M26",
     f"""WITH {SCORED}, {CONTIG_BIN}, lim("limit") AS (VALUES (17.0::DOUBLE), (24.0::DOUBLE), (40.0::DOUBLE))
-        SELECT "limit", bin, count(*) AS n, count(DISTINCT contig) AS n_contigs, round(avg(median), 6) AS mean
+        SELECT "limit", bin, count(*) AS n, count(DISTINCT contig) AS n_contigs, {exact_mean_sql("median")} AS mean
         FROM scored JOIN contig_bin USING (contig) JOIN lim ON n_motif_obs * mean_read_cov >= "limit" WHERE mean_read_cov >= 3 GROUP BY 1, 2""",
 )
 def evidence_limit_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same summary for several evidence limits in one job."""
     swept = features.evidence_sweep(scored(spark, sf_dir), [17, 24, 40], 3)
     return swept.join(contig_bin(spark, sf_dir), "contig").groupBy("limit", "bin").agg(
-        F.count("*").alias("n"), F.count_distinct("contig").alias("n_contigs"), r6(F.avg("median")).alias("mean")
+        F.count("*").alias("n"), F.count_distinct("contig").alias("n_contigs"), exact_mean("median").alias("mean")
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from locigrid.operators import aggregate as agg
 from locigrid.operators import scans, shape
 from locigrid.plans.catalog import query
-from locigrid.plans.standins import minute, r6, table, text_of
+from locigrid.plans.standins import exact_mean, exact_mean_sql, minute, table, text_of
 
 
 @query(
@@ -167,8 +167,8 @@ def ordered_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "W05 W01 A16",
-    """SELECT CAST(user_id AS VARCHAR) AS contig, count(DISTINCT event_type) AS types, min(CAST(floor(epoch(ts) / 60) AS BIGINT) - 28401120) AS first,
-         round(avg(value), 6) AS mean FROM events GROUP BY 1 HAVING count(DISTINCT event_type) = 5""",
+    f"""SELECT CAST(user_id AS VARCHAR) AS contig, count(DISTINCT event_type) AS types, min(CAST(floor(epoch(ts) / 60) AS BIGINT) - 28401120) AS first,
+         {exact_mean_sql('value')} AS mean FROM events GROUP BY 1 HAVING count(DISTINCT event_type) = 5""",
 )
 def complete_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Summary of the groups in which every class occurs."""
@@ -177,5 +177,5 @@ def complete_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     kept = agg.groups_with_n_distinct(rows, ["contig"], "event_type", 5)
     return kept.groupBy("contig").agg(
-        F.count_distinct("event_type").alias("types"), F.min("at").alias("first"), r6(F.avg("value")).alias("mean")
+        F.count_distinct("event_type").alias("types"), F.min("at").alias("first"), exact_mean("value").alias("mean")
     )

@@ -14,6 +14,8 @@ from locigrid.plans.standins import (
     CONTIG_BIN,
     SCORED,
     contig_bin,
+    exact_mean,
+    exact_mean_sql,
     hash_share,
     hash_share_sql,
     minute,
@@ -492,12 +494,12 @@ def multi_key_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "T02 T03",
-    f"""WITH {SCORED} SELECT motif, round(avg(median), 6) AS mean FROM scored GROUP BY motif
-        ORDER BY round(avg(median), 6) DESC, motif LIMIT 10""",
+    f"""WITH {SCORED} SELECT motif, {exact_mean_sql("median")} AS mean FROM scored GROUP BY motif
+        ORDER BY mean DESC, motif LIMIT 10""",
 )
 def top_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten features with the highest mean."""
-    means = scored(spark, sf_dir).groupBy("motif").agg(r6(F.avg("median")).alias("mean"))
+    means = scored(spark, sf_dir).groupBy("motif").agg(exact_mean("median").alias("mean"))
     return means.orderBy(F.desc("mean"), "motif").limit(10)
 
 
@@ -521,7 +523,7 @@ def coordinate_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "J02 A03 P10",
-    """SELECT n_name, count(*) AS n, round(avg(s_acctbal), 6) AS mean, round(max(s_acctbal - m), 6) AS over_mean FROM (
+    f"""SELECT n_name, count(*) AS n, {exact_mean_sql('s_acctbal')} AS mean, round(max(s_acctbal - m), 6) AS over_mean FROM (
          SELECT *, avg(s_acctbal) OVER (PARTITION BY s_nationkey) AS m FROM supplier) JOIN nation ON s_nationkey = n_nationkey
        GROUP BY n_name""",
 )
@@ -531,6 +533,6 @@ def group_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = table(spark, sf_dir, "nation").selectExpr("n_nationkey s_nationkey", "n_name")
     return rows.join(nation, "s_nationkey").groupBy("n_name").agg(
         F.count("*").alias("n"),
-        r6(F.avg("s_acctbal")).alias("mean"),
+        exact_mean("s_acctbal").alias("mean"),
         r6(F.max(F.col("s_acctbal") - F.col("m"))).alias("over_mean"),
     )

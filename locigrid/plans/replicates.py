@@ -123,12 +123,12 @@ def injected_replicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "R06",
     """WITH k AS (SELECT DISTINCT source FROM documents)
-       SELECT source FROM (SELECT source, row_number() OVER (ORDER BY md5('1|' || source), source) AS n FROM k WHERE source <> 'src_0')
+       SELECT source FROM (SELECT source, row_number() OVER (ORDER BY md5('1|' || source), source) AS n FROM k WHERE source <> 'src0')
        WHERE n <= (SELECT count(*) // 2 FROM k)""",
 )
 def half_of_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half of the distinct keys, after one is excluded."""
-    return sampling.choose_keys(table(spark, sf_dir, "documents"), "source", 1, ["src_0"])
+    return sampling.choose_keys(table(spark, sf_dir, "documents"), "source", 1, ["src0"])
 
 
 DOWN = """t AS (SELECT source AS sample, CAST(sum(n_chars) AS DOUBLE) AS total, count(*) AS num_reads, 60000.0::DOUBLE AS bases_required FROM documents GROUP BY 1),

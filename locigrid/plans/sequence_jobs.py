@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -119,20 +121,21 @@ RUN = 4
 
 def gapped_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Window records in input order; every seventh window of a document is
-    missing, which breaks its run."""
+    missing, and in some samples every third, which breaks the runs."""
     docs = sequences(spark, sf_dir).withColumns(
         {"number": F.substring("contig", 5, 20).cast("long"), "contig": F.regexp_replace("contig", "doc_", "contig_")}
     )
     cut = sq.sliding_fragments(docs.select("sample", "contig", "seq"), WINDOW, WINDOW)
     place = F.floor(F.col("start") / WINDOW)
     number = F.substring("contig", 8, 20).cast("long")
-    rows = cut.filter((place + number) % 7 != 0)
+    every = F.when(F.col("sample").endswith("3"), 3).otherwise(7)
+    rows = cut.filter((place + number) % every != 0)
     return rows.select("header", "seq", (number * 1_000_000 + place).alias("row_order"))
 
 
 GAPPED = f"""{FRAGMENTS}, g AS (SELECT sample, replace(contig, 'doc_', 'contig_') AS contig, replace(header, '_doc_', '_contig_') AS header, start, "end", seq, start // {WINDOW} AS place,
     CAST(substr(contig, 5) AS BIGINT) AS number FROM fragments),
-  gw AS (SELECT *, number * 1000000 + place AS row_order FROM g WHERE (place + number) % 7 <> 0),
+  gw AS (SELECT *, number * 1000000 + place AS row_order FROM g WHERE (place + number) % (CASE WHEN ends_with(sample, '3') THEN 3 ELSE 7 END) <> 0),
   fl AS (SELECT *, CASE WHEN lag("end") OVER w + 1 = start THEN 0 ELSE 1 END AS b FROM gw WINDOW w AS (PARTITION BY sample, contig ORDER BY start)),
   ru AS (SELECT *, sum(b) OVER (PARTITION BY sample, contig ORDER BY start) AS run FROM fl),
   pl AS (SELECT *, row_number() OVER (PARTITION BY sample, contig, run ORDER BY start) AS k, count(*) OVER (PARTITION BY sample, contig, run) AS n,
@@ -163,18 +166,26 @@ MOTIFS = [("GATC", "a", 1), ("CCWGG", "m", 1), ("RGATCY", "a", 2)]
 
 
 def _motif_sql() -> str:
+    """Every position with its next six letters, compared with all spellings of
+    each motif."""
     parts = []
     for motif, mod_type, position in MOTIFS:
         for strand, text in (("+", motif), ("-", sq.reverse_complement(motif))):
-            pattern = "^" + sq.motif_pattern(text) + "$"
+            spellings = itertools.product(*[sq.IUPAC_BASES[c] for c in text])
+            listed = ", ".join("'" + "".join(x) + "'" for x in spellings)
             parts.append(
-                f"""SELECT contig, unnest(list_filter(range(0, greatest(length(seq) - {len(text)} + 1, 0)),
-                      lambda i: regexp_matches(substr(seq, i + 1, {len(text)}), '{pattern}'))) AS start, '{strand}' AS strand, '{motif}' AS motif, '{mod_type}' AS mod_type, {position} AS mod_position FROM seqs"""
+                f"""SELECT contig, start, '{strand}' AS strand, '{motif}' AS motif, '{mod_type}' AS mod_type,
+                      {position} AS mod_position FROM k WHERE substr(six, 1, {len(text)}) IN ({listed})"""
             )
     return " UNION ALL ".join(parts)
 
 
-@query("Q04", f"WITH {SEQUENCES} {_motif_sql()}")
+LETTERS = """letters AS (SELECT contig, unnest(string_split(seq, '')) AS c, unnest(range(length(seq))) AS start FROM seqs WHERE seq <> ''),
+  k AS (SELECT contig, start, c || coalesce(lead(c, 1) OVER w, '') || coalesce(lead(c, 2) OVER w, '') || coalesce(lead(c, 3) OVER w, '')
+    || coalesce(lead(c, 4) OVER w, '') || coalesce(lead(c, 5) OVER w, '') AS six FROM letters WINDOW w AS (PARTITION BY contig ORDER BY start))"""
+
+
+@query("Q04", f"WITH {SEQUENCES}, {LETTERS} {_motif_sql()}")
 def motif_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Occurrences of three motifs on both strands, overlapping ones included."""
     return sq.find_motifs(sequences(spark, sf_dir), MOTIFS, chunk=2_000)
