@@ -21,6 +21,7 @@ from locigrid.operators.scans import (
     take_until,
 )
 from locigrid.operators.shape import min_evidence
+from locigrid.session import cut_lineage
 
 
 def sample_fraction(df: DataFrame, key: Column, share: Column | float, seed: int) -> DataFrame:
@@ -132,7 +133,8 @@ def inject_foreign(
     )
     usable = F.col("contig").isNotNull() & (F.col("donor") != F.col("bin"))
     failed = F.assert_true(usable, F.lit("a donor bin has no contig left to give"))
-    moves = moves.filter(failed.isNull()).select("benchmark", "contig", "donor", "bin")
+    # Bins times replicates rows; both results read them.
+    moves = cut_lineage(moves.filter(failed.isNull()).select("benchmark", "contig", "donor", "bin"))
     kept = anti(with_replicates(contig_bin, replicates), moves, ["benchmark", "contig"])
     moved = moves.select(
         "benchmark", F.concat(F.lit("contamination_"), F.col("contig")).alias("contig"), "bin"

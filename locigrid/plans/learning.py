@@ -1 +1,209 @@
-"""Placeholder."""
+"""Neighbours, clusters, classifiers and the two ensembles."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from locigrid.operators import aggregate as agg
+from locigrid.operators import classify, clustering, features, neighbours, scoring, shape
+from locigrid.operators.scans import ordered_index
+from locigrid.plans.catalog import query
+from locigrid.plans.counting import cells, lengths
+from locigrid.plans.standins import embeddings, hash_share, hash_share_sql, r6
+from locigrid.session import cut_lineage
+
+VECTORS = "e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS f, CAST(label AS VARCHAR) AS label FROM embeddings)"
+# Rows without a bin, by hash.
+FREE_SHARE = 0.3
+FREE = f"{hash_share_sql('free', 'id')} < {FREE_SHARE}"
+
+
+def binned_and_free(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = embeddings(spark, sf_dir)
+    free = hash_share("free", "id") < FREE_SHARE
+    return rows.filter(~free), rows.filter(free)
+
+
+@query(
+    "M22",
+    f"""WITH {VECTORS}, d AS (SELECT a.id, b.id AS neighbour, pow(list_sum(list_transform(range(1, 65), lambda i: pow(abs(a.f[i] - b.f[i]), 3))), 1.0::DOUBLE / 3) AS distance
+          FROM e a, e b WHERE a.id <> b.id)
+        SELECT id, neighbour, round(distance, 6) AS distance, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY id ORDER BY distance, neighbour) AS INTEGER) AS rank FROM d) WHERE rank <= 10""",
+)
+def neighbour_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten nearest other rows of every row, Minkowski distance of order 3."""
+    edges = neighbours.knn_graph(embeddings(spark, sf_dir).select("id", "features"), 10, 3.0)
+    return edges.withColumn("distance", r6(F.col("distance")))
+
+
+KNN = f"""{VECTORS}, n AS (SELECT q.id, t.label AS class, list_distance(q.f, t.f) AS distance,
+    row_number() OVER (PARTITION BY q.id ORDER BY list_distance(q.f, t.f), t.id) AS rank FROM (SELECT * FROM e WHERE {FREE}) q, (SELECT * FROM e WHERE NOT {FREE}) t)"""
+
+
+@query(
+    "M16",
+    f"WITH {KNN} SELECT id, class, round(count(*) / 3.0::DOUBLE, 6) AS prob FROM n WHERE rank <= 3 GROUP BY 1, 2",
+)
+def neighbour_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vote shares of the three nearest binned rows."""
+    binned, free = binned_and_free(spark, sf_dir)
+    return neighbours.knn_classify(binned, free, 3).withColumn("prob", r6(F.col("prob")))
+
+
+@query(
+    "M16 J09",
+    f"""WITH {KNN}, w AS (SELECT id, class, sum(1 / distance) AS s FROM n WHERE rank <= 5 GROUP BY 1, 2), p AS (SELECT id, class, s / sum(s) OVER (PARTITION BY id) AS prob FROM w)
+        SELECT id, class AS pred, round(prob, 6) AS prob FROM (SELECT *, max(prob) OVER (PARTITION BY id) AS m FROM p) WHERE prob = m""",
+)
+def weighted_neighbour_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best class by inverse distance over the five nearest binned rows."""
+    binned, free = binned_and_free(spark, sf_dir)
+    best = neighbours.best_class(neighbours.knn_classify(binned, free, 5, weighted=True))
+    return best.withColumn("prob", r6(F.col("prob")))
+
+
+EPS = 1.2
+
+
+def _density_sql(weight: str, minimum: str) -> str:
+    """Core rows, their components and the nearest core row of the others."""
+    return f"""{VECTORS}, w AS (SELECT *, {weight} AS w FROM e), d AS (SELECT a.id, b.id AS other, b.w, list_distance(a.f, b.f) AS distance FROM w a, w b WHERE list_distance(a.f, b.f) <= {EPS}),
+      core AS (SELECT id FROM d GROUP BY 1 HAVING sum(w) >= {minimum}), link AS (SELECT id, other, distance FROM d WHERE id IN (SELECT id FROM core) AND other IN (SELECT id FROM core)),
+      reach(id, root) AS (SELECT id, id FROM core UNION SELECT l.other, r.root FROM reach r JOIN link l ON l.id = r.id),
+      comp AS (SELECT id, min(root) AS cluster FROM reach GROUP BY 1)"""
+
+
+@query(
+    "M11",
+    f"""WITH RECURSIVE {_density_sql("log10(20000 + 1000 * (id % 7))", "22")}, edge AS (SELECT id, first(other ORDER BY distance, other) AS c FROM d WHERE id NOT IN (SELECT id FROM core) AND other IN (SELECT id FROM core) GROUP BY 1)
+        SELECT e.id, CAST(coalesce(comp.cluster, ec.cluster, -1) AS BIGINT) AS cluster FROM e LEFT JOIN comp ON comp.id = e.id LEFT JOIN edge ON edge.id = e.id LEFT JOIN comp ec ON ec.id = edge.c""",
+)
+def weighted_density_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Density clusters with a weight per row, border rows included."""
+    rows = embeddings(spark, sf_dir).withColumn("w", F.log10(20_000 + 1_000 * (F.col("id") % 7)))
+    return neighbours.dbscan(rows, EPS, 22.0, "w")
+
+
+@query(
+    "M10",
+    f"""WITH RECURSIVE {_density_sql("1", "5")}, big AS (SELECT cluster FROM comp GROUP BY 1 HAVING count(*) >= 3)
+        SELECT e.id, CAST(CASE WHEN cluster IN (SELECT cluster FROM big) THEN cluster ELSE -1 END AS BIGINT) AS cluster FROM e LEFT JOIN comp USING (id)""",
+)
+def density_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Density clusters at a given cut, small ones and border rows as noise."""
+    rows = embeddings(spark, sf_dir).select("id", "features")
+    return neighbours.density_labels(rows, min_samples=5, min_cluster_size=3, cut=EPS)
+
+
+def _reduced(rows: DataFrame, share: float = 0.90) -> DataFrame:
+    scaled = features.Standardiser.fit(rows).apply(rows)
+    return features.Components.fit(scaled, share).apply(scaled)
+
+
+@query("M05 M04")
+def principal_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components up to ninety percent of the variance, in long form."""
+    out = _reduced(embeddings(spark, sf_dir).select("id", "features"))
+    return out.select("id", F.posexplode("features").alias("component", "value"))
+
+
+@query("M06")
+def kmeans_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.kmeans_labels(_reduced(embeddings(spark, sf_dir)), 10)
+
+
+@query("M07 M05")
+def mixture_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gaussian mixture on the leading components."""
+    return clustering.gmm_labels(_reduced(embeddings(spark, sf_dir), 0.2), 10)
+
+
+@query("M08 M22")
+def spectral_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.spectral_labels(_reduced(embeddings(spark, sf_dir)), 10)
+
+
+@query("M09")
+def ward_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.ward_labels(_reduced(embeddings(spark, sf_dir)), 10)
+
+
+@query("M15")
+def discriminant_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    binned, free = binned_and_free(spark, sf_dir)
+    return classify.LinearDiscriminant.fit(binned).probabilities(free)
+
+
+@query("M17")
+def forest_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    binned, free = binned_and_free(spark, sf_dir)
+    return classify.random_forest(binned, free, trees=100, depth=8)
+
+
+@query("M18")
+def rbf_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    binned, free = binned_and_free(spark, sf_dir)
+    return classify.rbf_machine(binned, free, size=128, rounds=10)
+
+
+@query("M21 M16")
+def neighbour_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-validated accuracy of five random neighbour settings."""
+    grid = {"k": [3, 5, 7, 9], "weights": ["uniform", "distance"]}
+    return classify.search_knn(embeddings(spark, sf_dir), grid)
+
+
+@query("M21 M17")
+def forest_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-validated accuracy of three random forest settings."""
+    grid = {"numTrees": [20, 40], "maxDepth": [4, 6, 8], "impurity": ["gini", "entropy"]}
+    return classify.search_forest(embeddings(spark, sf_dir), grid, n=3, folds=3)
+
+
+@query("M01 M03 M04 M05 M06 M07 M09 M10 M12 M13 A08 A26 A27 J08")
+def contamination_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Votes of four clusterings on which contigs do not belong to their bin.
+
+    Bins with a single contig are left out; nothing can be told there.
+    """
+    rows = cells(spark, sf_dir)
+    pairs = rows.select("bin", "contig").distinct()
+    single = pairs.groupBy("bin").count().filter("count = 1")
+    rows = rows.join(single, "bin", "left_anti")
+    index = cut_lineage(features.feature_index(rows, "motif"))
+    vectors = features.impute_within(rows, "motif", "x", index)
+    numbered = cut_lineage(ordered_index(vectors, ["contig"], "id"))
+    points = cut_lineage(_reduced(numbered.select("id", "features")))
+    k = numbered.select("bin").distinct().count()
+    labels = {
+        "kmeans": clustering.kmeans_labels(points, k),
+        "gmm": clustering.gmm_labels(points, k),
+        "agg": clustering.ward_labels(points, k),
+        "dscan": neighbours.density_labels(points, 3, 2),
+    }
+    results = shape.union_strict(*[df.withColumn("method", F.lit(m)) for m, df in labels.items()])
+    results = cut_lineage(results.join(numbered.select("id", "contig", "bin"), "id").drop("id"))
+    sizes = lengths(spark, sf_dir)
+    bins = agg.bin_sizes(numbered.select("contig", "bin"), sizes)
+    homes = scoring.home_cluster(agg.cluster_sizes(results, sizes, bins))
+    return scoring.flag_foreign(results, homes, 0, at_least=True)
+
+
+@query("M04 M05 M15 M16 M17 M18 M19 M28 U02")
+def inclusion_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four classifiers on the rows without a bin, reduced to confidence tiers."""
+    binned, free = binned_and_free(spark, sf_dir)
+    scaler = features.Standardiser.fit(binned)
+    components = features.Components.fit(scaler.apply(binned))
+    train = cut_lineage(components.apply(scaler.apply(binned)))
+    asked = cut_lineage(components.apply(scaler.apply(free)))
+    votes = shape.union_strict(
+        classify.predict(classify.random_forest(train, asked, trees=50, depth=8), "rf"),
+        classify.predict(neighbours.knn_classify(train, asked, 3), "knn"),
+        classify.predict(classify.rbf_machine(train, asked, size=128, rounds=10), "svm"),
+        classify.predict(classify.LinearDiscriminant.fit(train).probabilities(asked), "lda"),
+    )
+    return scoring.confidence_tiers(cut_lineage(votes))
+
+
