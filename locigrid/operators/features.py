@@ -97,6 +97,8 @@ class Standardiser:
 
     @classmethod
     def fit(cls, vectors: DataFrame, column: str = "features") -> Standardiser:
+        if vectors.isEmpty():
+            raise ValueError("nothing to learn a scale from")
         # One row whose size is the number of features.
         stats = vectors.select(
             Summarizer.metrics("mean", "variance", "count")

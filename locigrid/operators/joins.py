@@ -79,19 +79,18 @@ def pair_with_values(df: DataFrame, dimension: DataFrame) -> DataFrame:
     """
     values = dimension.distinct()
     blocks = max(1, math.ceil(values.count() / DIMENSION_BLOCK))
+    if blocks == 1:
+        packed = values.agg(F.collect_list(F.struct("*")).alias("__values"))
+        return df.select(*df.columns, F.inline(packed.scalar()))
     number = F.pmod(F.xxhash64(*values.columns), F.lit(blocks)).cast("int").alias("__block")
     packed = values.groupBy(number).agg(F.collect_list(F.struct("*")).alias("__values"))
-    if blocks == 1:
-        joined = df.withColumn("__block", F.lit(0)).join(F.broadcast(packed), "__block")
-    else:
-        salts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        salt = F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int")
-        tagged = df.withColumn("__salt", salt).withColumn(
-            "__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-        )
-        copies = packed.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        joined = tagged.join(copies, ["__salt", "__block"])
-    return joined.select(*df.columns, F.inline("__values"))
+    salts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salt = F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int")
+    tagged = df.withColumn("__salt", salt).withColumn(
+        "__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    )
+    copies = packed.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return tagged.join(copies, ["__salt", "__block"]).select(*df.columns, F.inline("__values"))
 
 
 def densify(

@@ -31,23 +31,39 @@ SPAN = 1 << 24
 CHUNK = 8_192
 
 
+def _pieces(seq: Column, size: int) -> Column:
+    """The sequence cut into pieces of ``size`` letters, the last one shorter.
+
+    One pass over the text. Taking each piece with ``substring`` would walk from
+    the start every time, and exploding positions would copy the whole sequence
+    next to each of them.
+    """
+    return F.regexp_extract_all(seq, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+
+
 def sliding_fragments(seqs: DataFrame, size: int = 20_000, step: int = 20_000) -> DataFrame:
     """Full windows of each contig, 1-based and inclusive; a short tail is dropped.
 
     Expects ``sample, contig, seq``; the header reads
     ``{sample}_{contig}_sliding_{start}-{end}``.
     """
-    count = F.floor((F.length("seq") - F.lit(size)) / F.lit(step)) + 1
-    # sequence(0, -1) would count down, so short contigs are filtered first.
-    windows = seqs.filter(F.length("seq") >= size).select(
-        "sample", "contig", "seq", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)).alias("__i")
+    span = -(-size // step)  # steps a window reaches over
+    cut = seqs.withColumn("__p", _pieces(F.col("seq"), step)).filter(F.length("seq") >= size)
+    windows = F.transform(
+        "__p",
+        lambda piece, i: F.struct(
+            i.alias("i"),
+            F.substring(F.array_join(F.slice("__p", i + 1, F.lit(span)), ""), 1, size).alias("piece"),
+        ),
     )
-    start = (F.col("__i") * step + 1).cast("long")
+    full = F.filter(windows, lambda w: F.length(w["piece"]) == size)
+    rows = cut.select("sample", "contig", F.inline(full))
+    start = (F.col("i").cast("long") * step + 1).cast("long")
     end = start + (size - 1)
     header = F.concat_ws("_", "sample", "contig", F.lit("sliding"), F.concat_ws("-", start, end))
-    piece = F.substring("seq", start.cast("int"), F.lit(size))
-    return windows.select(
-        "sample", "contig", header.alias("header"), start.alias("start"), end.alias("end"), piece.alias("seq")
+    return rows.select(
+        "sample", "contig", header.alias("header"), start.alias("start"), end.alias("end"),
+        F.col("piece").alias("seq"),
     )
 
 
@@ -152,15 +168,19 @@ def find_motifs(seqs: DataFrame, motifs: Sequence[tuple[str, str, int]], chunk:
     is the 0-based leftmost base on the forward strand.
     """
     overlap = max(len(m) for m, _, _ in motifs) - 1
-    pieces = F.sequence(F.lit(0), F.floor((F.length("seq") - 1) / F.lit(chunk)).cast("int"))
+    # Each piece with the first letters of the next one.
+    pieces = F.transform(
+        "__p",
+        lambda piece, i: F.struct(
+            (i.cast("long") * chunk).alias("__offset"),
+            F.concat(
+                piece, F.substring(F.coalesce(F.get("__p", i + 1), F.lit("")), 1, overlap)
+            ).alias("__piece"),
+        ),
+    )
     cut = (
-        seqs.filter(F.length("seq") > 0)
-        .select("contig", "seq", F.explode(pieces).alias("__i"))
-        .select(
-            "contig",
-            (F.col("__i").cast("long") * chunk).alias("__offset"),
-            F.substring("seq", F.col("__i") * chunk + 1, F.lit(chunk + overlap)).alias("__piece"),
-        )
+        seqs.withColumn("__p", _pieces(F.col("seq"), chunk))
+        .select("contig", F.inline(pieces))
         # Spread the pieces of a few long sequences over all tasks.
         .repartition("contig", "__offset")
     )

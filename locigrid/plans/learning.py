@@ -171,6 +171,8 @@ def contamination_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = rows.select("bin", "contig").distinct()
     single = pairs.groupBy("bin").count().filter("count = 1")
     rows = rows.join(single, "bin", "left_anti")
+    if rows.isEmpty():
+        return rows.select("contig", F.lit(0).cast("long").alias("sum_predictions"))
     index = cut_lineage(features.feature_index(rows, "motif"))
     vectors = features.impute_within(rows, "motif", "x", index)
     numbered = cut_lineage(ordered_index(vectors, ["contig"], "id"))
