@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from locigrid.functions.numeric import gc_fraction
 from locigrid.operators.joins import join_null_safe
-from locigrid.operators.scans import OrderedScan
+
+# Rows of a group whose values may be held in memory by one task.
+GROUP_ROWS = 1 << 20
+# Accuracy of the quantile sketch: its rank error is one in this many.
+SKETCH = 10_000
 
 
 def with_group_stats(df: DataFrame, group: Sequence[str], **stats: Column) -> DataFrame:
@@ -51,25 +55,68 @@ def exact_quantiles(
 ) -> DataFrame:
     """Exact quantiles with linear interpolation between neighbours.
 
-    Equal values are counted before the shuffle, and the positions come from a
-    bucketed running count, so a large group is neither collected nor sorted in
-    one task.
+    ``percentile`` holds the distinct values of a group in memory, which serves
+    groups up to ``GROUP_ROWS`` rows. Larger groups are counted first; their
+    quantiles come from ``_large_quantiles``.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("__n"))
-    scan = OrderedScan(counts, group, [value]).running_sum(F.col("__n"), "__upto")
-    placed = with_group_stats(scan.result(), group, __size=F.sum("__n"))
+    rows = df.filter(F.col(value).isNotNull()).select(*group, value)
+    sizes = rows.groupBy(*group).agg(F.count("*").alias("__size"))
+    large = sizes.filter(F.col("__size") > GROUP_ROWS)
+    small = rows
+    if any_large := not large.isEmpty():
+        small = join_null_safe(rows, large.drop("__size"), group, "left_anti")
+    wanted = [F.percentile(value, F.lit(float(p))).alias(name) for name, p in probs.items()]
+    grouped = small.groupBy(*group) if group else small.groupBy(F.lit(0).alias("__all"))
+    out = grouped.agg(*wanted).select(*group, *probs)
+    if any_large:
+        out = out.unionByName(_large_quantiles(rows, large, group, value, probs))
+    return out
+
+
+def _large_quantiles(
+    rows: DataFrame, large: DataFrame, group: Sequence[str], value: str, probs: dict[str, float]
+) -> DataFrame:
+    """Exact quantiles of a few large groups.
+
+    A sketch brackets each quantile between two values whose ranks are known to
+    lie on either side. One pass counts the rows under each bracket, and only
+    the values inside it are ranked; a bracket holds a few rows in ten thousand.
+    """
+    margin = 4.0 / SKETCH
+    edges = [min(max(p + side * margin, 0.0), 1.0) for p in probs.values() for side in (-1, 1)]
+    mine = join_null_safe(rows, large, group)
+    sketch = F.percentile_approx(value, F.array(*[F.lit(e) for e in edges]), F.lit(SKETCH))
+    # One row per large group.
+    brackets = mine.groupBy(*group, "__size").agg(sketch.alias("__b"))
+    placed = join_null_safe(rows, brackets, group)
+    spots = [
+        F.struct(
+            F.lit(i).alias("spot"),
+            F.get("__b", F.lit(2 * i)).alias("low"),
+            F.get("__b", F.lit(2 * i + 1)).alias("high"),
+        )
+        for i in range(len(probs))
+    ]
+    asked = placed.select(*group, "__size", value, F.inline(F.array(*spots)))
+    asked = asked.filter(F.col(value) <= F.col("high"))
+    inside = F.when(F.col(value) >= F.col("low"), F.col(value))
+    # Rows under a bracket share one NULL entry, which sorts first.
+    counts = asked.groupBy(*group, "__size", "spot", inside.alias("__v")).agg(F.count("*").alias("__n"))
+    window = Window.partitionBy(*group, "spot").orderBy(F.asc_nulls_first("__v"))
+    upto = F.sum("__n").over(window.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = counts.withColumn("__upto", upto)
+    share = F.element_at(F.lit([float(p) for p in probs.values()]), F.col("spot") + 1)
+    at = (F.col("__size") - 1) * share
     first, last = F.col("__upto") - F.col("__n"), F.col("__upto") - 1
-    picks, outputs = [], []
-    for name, p in probs.items():
-        at = (F.col("__size") - 1) * F.lit(float(p))
-        for side, spot in (("lo", F.floor(at)), ("hi", F.ceil(at))):
-            inside = (first <= spot) & (spot <= last)
-            picks.append(F.max(F.when(inside, F.col(value))).alias(f"__{name}_{side}"))
-        rest = at - F.floor(at)
-        low, high = F.col(f"__{name}_lo"), F.col(f"__{name}_hi")
-        outputs.append((low + (high - low) * rest).alias(name))
-    found = placed.groupBy(*group, "__size").agg(*picks) if group else placed.groupBy("__size").agg(*picks)
-    return found.select(*group, *outputs)
+    low, high = (
+        F.max(F.when((first <= spot) & (spot <= last), F.col("__v"))) for spot in (F.floor(at), F.ceil(at))
+    )
+    found = ranked.groupBy(*group, "__size", "spot").agg(low.alias("lo"), high.alias("hi"))
+    known = F.assert_true(F.col("lo").isNotNull() & F.col("hi").isNotNull(), F.lit("quantile out of bracket"))
+    found = found.filter(known.isNull())
+    quantile = F.col("lo") + (F.col("hi") - F.col("lo")) * (at - F.floor(at))
+    picks = [F.max(F.when(F.col("spot") == i, quantile)).alias(name) for i, name in enumerate(probs)]
+    return found.groupBy(*group, "__size").agg(*picks).select(*group, *probs)
 
 
 def boxplot_stats(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:

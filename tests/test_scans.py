@@ -1,8 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from locigrid.operators import scans
-from locigrid.operators.aggregate import exact_quantiles
+from locigrid.operators import aggregate, scans
 
 
 def numbers(spark, n=500, parts=8):
@@ -85,21 +84,29 @@ def test_runs_cross_buckets(spark, bucket):
             last = r["s"]
 
 
-def test_quantiles_of_one_large_group(spark):
+@pytest.mark.parametrize("limit, sketch", [(1 << 20, 10_000), (60, 10_000), (60, 50), (0, 20)])
+@pytest.mark.parametrize("group", [["g"], []])
+def test_quantiles_of_large_groups(spark, monkeypatch, limit, sketch, group):
     import numpy as np
 
+    monkeypatch.setattr(aggregate, "GROUP_ROWS", limit)
+    monkeypatch.setattr(aggregate, "SKETCH", sketch)
     df = numbers(spark)
-    out = exact_quantiles(df, ["g"], "v", {"q1": 0.25, "m": 0.5, "q9": 0.9})
-    found = {r["g"]: (r["q1"], r["m"], r["q9"]) for r in out.collect()}
-    for g, rows in by_group(df).items():
-        wanted = np.quantile([r["v"] for r in rows], [0.25, 0.5, 0.9])
-        assert found[g] == pytest.approx(tuple(wanted))
+    out = aggregate.exact_quantiles(df, group, "v", {"q0": 0.0, "q1": 0.25, "m": 0.5, "q9": 0.9, "q100": 1.0})
+    found = {tuple(r[c] for c in group): (r["q0"], r["q1"], r["m"], r["q9"], r["q100"]) for r in out.collect()}
+    everything = by_group(df)
+    if not group:
+        everything = {None: [r for rows in everything.values() for r in rows]}
+    assert len(found) == len(everything)
+    for g, rows in everything.items():
+        wanted = np.quantile([r["v"] for r in rows], [0, 0.25, 0.5, 0.9, 1])
+        assert found[(g,) if group else ()] == pytest.approx(tuple(wanted))
 
 
 def test_empty_and_single_row(spark):
     empty = numbers(spark).filter("id < 0")
     assert scans.ordered_index(empty, ["id"], "i").count() == 0
-    assert exact_quantiles(empty, ["g"], "v", {"m": 0.5}).count() == 0
+    assert aggregate.exact_quantiles(empty, ["g"], "v", {"m": 0.5}).count() == 0
     one = numbers(spark).filter("id = 7")
     assert scans.OrderedScan(one, ["g"], ["id"]).lag(F.col("v"), "p").result().first()["p"] is None
 
