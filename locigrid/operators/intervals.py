@@ -19,20 +19,21 @@ def _tile(tile: int):
     return F.floor(F.col("pos") / F.lit(tile))
 
 
-def _steps(intervals: DataFrame) -> DataFrame:
-    """Net change of depth at each position."""
+def _steps(intervals: DataFrame, points: DataFrame | None = None) -> DataFrame:
+    """Net change of depth at each position; ``ask`` marks the extra points."""
     change = F.explode(
         F.array(
             F.struct(F.col("start").cast("long").alias("pos"), F.lit(1).cast("long").alias("delta")),
             F.struct(F.col("end").cast("long").alias("pos"), F.lit(-1).cast("long").alias("delta")),
         )
     )
-    return (
-        intervals.filter(F.col("start") < F.col("end"))
-        .select("contig", change.alias("c"))
-        .groupBy("contig", F.col("c.pos").alias("pos"))
-        .agg(F.sum("c.delta").alias("delta"))
-    )
+    rows = intervals.filter(F.col("start") < F.col("end")).select("contig", change.alias("c"))
+    rows = rows.select("contig", "c.pos", "c.delta", F.lit(0).alias("ask"))
+    if points is not None:
+        rows = rows.unionByName(
+            points.select("contig", "pos", F.lit(0).cast("long").alias("delta"), F.lit(1).alias("ask"))
+        )
+    return rows.groupBy("contig", "pos").agg(F.sum("delta").alias("delta"), F.max("ask").alias("ask"))
 
 
 def depth_segments(
@@ -40,11 +41,11 @@ def depth_segments(
 ) -> DataFrame:
     """Maximal segments of constant depth. With ``lengths`` the segments cover
     each contig whole, zero depth included; without, only covered ones are given."""
-    steps = _steps(intervals).filter(F.col("delta") != 0)
+    points = None
     if lengths is not None:
         edges = F.explode(F.array(F.lit(0).cast("long"), F.col("length").cast("long")))
-        ends = lengths.select("contig", edges.alias("pos"), F.lit(0).cast("long").alias("delta"))
-        steps = steps.unionByName(ends).groupBy("contig", "pos").agg(F.sum("delta").alias("delta"))
+        points = lengths.select("contig", edges.alias("pos"))
+    steps = _steps(intervals, points).filter((F.col("delta") != 0) | (F.col("ask") == 1))
     scan = (
         OrderedScan(steps, ["contig"], ["pos"], _tile(tile))
         .running_sum(F.col("delta"), "depth")
@@ -63,34 +64,29 @@ def mean_depth(intervals: DataFrame, reads: DataFrame, tile: int = TILE) -> Data
     value at two points. So reads and interval ends are merged in one ordered
     scan, and no pair of an interval and a read is ever built.
     """
-    zero = F.lit(0).cast("long")
-    ends = F.explode(F.array(F.col("start").cast("long"), F.col("end").cast("long")))
-    points = intervals.select("contig", ends.alias("pos"), zero.alias("delta"), F.lit(1).alias("ask"))
-    steps = _steps(reads).withColumn("ask", F.lit(0)).unionByName(points)
-    steps = steps.groupBy("contig", "pos").agg(
-        F.sum("delta").alias("delta"), F.max("ask").alias("ask")
+    spans = intervals.select("contig", F.col("start").cast("long"), F.col("end").cast("long")).distinct()
+    ends = F.array(
+        F.struct(F.col("start").alias("pos"), F.lit(-1).alias("side")),
+        F.struct(F.col("end").alias("pos"), F.lit(1).alias("side")),
     )
+    ends = spans.select("*", F.inline(ends))
     # covered(x) = sum of delta * (x - pos) over pos <= x
     scan = (
-        OrderedScan(steps, ["contig"], ["pos"], _tile(tile))
+        OrderedScan(_steps(reads, ends), ["contig"], ["pos"], _tile(tile))
         .running_sum(F.col("delta"), "__n")
         .running_sum(F.col("delta") * F.col("pos"), "__weighted")
     )
     curve = scan.result().filter(F.col("ask") == 1).select(
         "contig", "pos", (F.col("__n") * F.col("pos") - F.col("__weighted")).alias("covered")
     )
-    left = curve.select("contig", F.col("pos").alias("start"), F.col("covered").alias("__from"))
-    right = curve.select("contig", F.col("pos").alias("end"), F.col("covered").alias("__to"))
-    return (
-        intervals.withColumns({"start": F.col("start").cast("long"), "end": F.col("end").cast("long")})
-        .join(left, ["contig", "start"])
-        .join(right, ["contig", "end"])
-        .withColumn(
-            "mean_depth",
-            F.try_divide((F.col("__to") - F.col("__from")).cast("double"), F.col("end") - F.col("start")),
-        )
-        .select(*intervals.columns, "mean_depth")
+    bases = (
+        ends.join(curve, ["contig", "pos"])
+        .groupBy("contig", "start", "end")
+        .agg(F.sum(F.col("side") * F.col("covered")).alias("__bases"))
     )
+    share = F.try_divide(F.col("__bases").cast("double"), F.col("end") - F.col("start"))
+    means = bases.select("contig", "start", "end", share.alias("mean_depth"))
+    return intervals.join(means, ["contig", "start", "end"]).select(*intervals.columns, "mean_depth")
 
 
 def coverage_fraction(
