@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from locigrid.functions.numeric import gc_fraction
-from locigrid.operators.joins import join_null_safe
+from locigrid.operators.joins import argmax_join, join_null_safe
 
 # Rows of a group whose values may be held in memory by one task.
 GROUP_ROWS = 1 << 20
@@ -46,8 +46,7 @@ def groups_with_n_distinct(df: DataFrame, group: Sequence[str], column: str, n:
 
 def keep_max(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
     """Rows that hold the maximum of their group, ties kept."""
-    best = with_group_stats(df, group, __best=F.max(value))
-    return best.filter(F.col(value) == F.col("__best")).drop("__best")
+    return argmax_join(df, group, value)
 
 
 def exact_quantiles(

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from locigrid.functions.text import remove_first
-from locigrid.operators.aggregate import keep_max
 from locigrid.operators.joins import argmax_join, natural_left
 from locigrid.operators.scans import top_k
 from locigrid.operators.shape import union_loose
@@ -203,9 +202,11 @@ def soft_vote(probabilities: DataFrame, methods: Sequence[str] = ("lda", "knn",
     means = used.groupBy("contig", "class").agg(
         (F.sum("prob") / F.lit(float(len(methods)))).alias("prob")
     )
-    best = keep_max(means, ["contig"], "prob")
-    return best.groupBy("contig", F.col("prob").alias("confidence")).agg(
-        F.min("class").alias("classification")
+    # Rounded, so that equal means tie whatever the order of summation.
+    rank = F.struct((-F.round("prob", 12)).alias("p"), F.col("class"))
+    best = means.groupBy("contig").agg(F.min(rank).alias("b"))
+    return best.select(
+        "contig", (-F.col("b.p")).alias("confidence"), F.col("b.class").alias("classification")
     )
 
 

@@ -144,7 +144,7 @@ def mean_metrics_over_replicates(spark: SparkSession, sf_dir: str) -> DataFrame:
           {SCORED}, {CONTIG_BIN}, s AS (SELECT bin, motif, round(sum(median), 2) / count(*) AS m FROM scored JOIN contig_bin USING (contig) WHERE mean_read_cov >= 8 GROUP BY 1, 2),
           k AS (SELECT DISTINCT motif FROM s WHERE m > 0.5), sg AS (SELECT * FROM (SELECT DISTINCT bin FROM s), k)
         SELECT bin, x_axis, round(avg(round(v, 9)), 6) AS value, CAST(NULL AS VARCHAR) AS label, 'metric' AS "group" FROM l WHERE v IS NOT NULL GROUP BY 1, 2
-        UNION ALL SELECT bin, motif, round(coalesce(m, 0), 6), CASE WHEN m IS NULL THEN '·' END, 'methylation' FROM sg LEFT JOIN s USING (bin, motif)""",
+        UNION ALL SELECT bin, motif, round(coalesce(m, 0), 9), CASE WHEN m IS NULL THEN '·' END, 'methylation' FROM sg LEFT JOIN s USING (bin, motif)""",
 )
 def benchmark_heat_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feature means and metric means per bin, stacked in one long table."""
@@ -165,7 +165,7 @@ def benchmark_heat_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = means.filter("m > 0.5").select("x_axis").distinct()
     grid = joins.densify(joins.semi(means, kept, ["x_axis"]), [means.select("bin"), kept], {})
     methylation = grid.select(
-        "bin", "x_axis", r6(F.coalesce("m", F.lit(0.0))).alias("value"), F.when(F.col("m").isNull(), "·").alias("label")
+        "bin", "x_axis", F.round(F.coalesce("m", F.lit(0.0)), 9).alias("value"), F.when(F.col("m").isNull(), "·").alias("label")
     )
     return scoring.stack_grid(methylation, metrics)
 

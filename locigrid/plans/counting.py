@@ -416,29 +416,28 @@ def applied_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "M20",
     f"""WITH {VOTES}, m AS (SELECT contig, assigned_bin AS class, sum(round(prob, 8)) / 3 AS prob FROM votes WHERE method IN ('lda', 'knn', 'rf') GROUP BY 1, 2),
-         t AS (SELECT *, max(round(prob, 6)) OVER (PARTITION BY contig) AS top FROM m)
-        SELECT contig, top AS confidence, min(class) AS classification FROM t WHERE round(prob, 6) = top GROUP BY 1, 2""",
+         t AS (SELECT *, max(round(prob, 9)) OVER (PARTITION BY contig) AS top FROM m)
+        SELECT contig, top AS confidence, min(class) AS classification FROM t WHERE round(prob, 9) = top GROUP BY 1, 2""",
 )
 def soft_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean class probability over methods and the best class."""
     long = votes(spark, sf_dir).withColumnRenamed("assigned_bin", "class")
     long = long.withColumn("prob", F.round("prob", 8))
     used = scoring.soft_vote(long)
-    return used.withColumn("confidence", r6(F.col("confidence")))
+    return used.withColumn("confidence", F.round("confidence", 9))
 
 
 @query(
     "M25 T03",
     f"""WITH {SCORED}, {CONTIG_BIN}, m AS (SELECT bin, motif, round(avg(median), 9) AS mean, max(median) AS top FROM scored JOIN contig_bin USING (contig)
             WHERE mean_read_cov >= 8 GROUP BY 1, 2)
-        SELECT bin, motif, round(mean, 6) AS mean, 'high' AS side FROM m WHERE top >= 1.0 UNION ALL
-        SELECT bin, motif, round(mean, 6), 'low' FROM (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY mean DESC, motif) AS n FROM m WHERE mean < 0.5) WHERE n <= 3""",
+        SELECT bin, motif, mean, 'high' AS side FROM m WHERE top >= 1.0 UNION ALL
+        SELECT bin, motif, mean, 'low' FROM (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY mean DESC, motif) AS n FROM m WHERE mean < 0.5) WHERE n <= 3""",
 )
 def motif_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Motifs that reach a limit, plus a few low ones, per bin."""
     rows = scored(spark, sf_dir).filter("mean_read_cov >= 8").join(contig_bin(spark, sf_dir), "contig")
-    out = scoring.contrast_features(rows, ["bin"], "motif", "median", 1.0, 0.5, 3)
-    return out.withColumn("mean", r6(F.col("mean")))
+    return scoring.contrast_features(rows, ["bin"], "motif", "median", 1.0, 0.5, 3)
 
 
 @query(

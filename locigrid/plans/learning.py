@@ -54,7 +54,7 @@ def neighbour_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "M16 J09",
     f"""WITH {KNN}, w AS (SELECT id, class, sum(1 / distance) AS s FROM n WHERE rank <= 5 GROUP BY 1, 2), p AS (SELECT id, class, s / sum(s) OVER (PARTITION BY id) AS prob FROM w)
-        SELECT id, class AS pred, round(prob, 6) AS prob FROM (SELECT *, max(prob) OVER (PARTITION BY id) AS m FROM p) WHERE prob = m""",
+        SELECT id, min(class) AS pred, round(max(prob), 6) AS prob FROM (SELECT *, max(prob) OVER (PARTITION BY id) AS m FROM p) WHERE prob >= m - 0.000000000001 GROUP BY id""",
 )
 def weighted_neighbour_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best class by inverse distance over the five nearest binned rows."""

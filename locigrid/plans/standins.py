@@ -135,8 +135,8 @@ def r6(column: Column) -> Column:
 def exact_mean(column: str, digits: int = 2) -> Column:
     """Mean of values that hold at most ``digits`` decimals. The sum is rounded
     to them first, so the result does not depend on the order of summation."""
-    return F.round(F.round(F.sum(column), digits) / F.count(column), 6)
+    return F.round(F.round(F.sum(column), digits) / F.count(column), 9)
 
 
 def exact_mean_sql(column: str, digits: int = 2) -> str:
-    return f"round(round(sum({column}), {digits}) / count({column}), 6)"
+    return f"round(round(sum({column}), {digits}) / count({column}), 9)"
