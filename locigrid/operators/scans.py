@@ -19,7 +19,6 @@ from locigrid.session import cut_lineage
 BUCKET = "__bucket"
 GROUP = "__group"
 KEYS = [GROUP, BUCKET]
-HASH_BUCKETS = 4096
 
 
 def _cols(names: Sequence[str | Column]) -> list[Column]:
@@ -201,8 +200,8 @@ def seeded_hash(*parts: Column | str | int) -> Column:
 
 
 def hash_bucket(hash_col: Column) -> Column:
-    """Leading 12 bits of the hash: 4096 buckets in hash order."""
-    return F.conv(F.substring(hash_col, 1, 3), 16, 10).cast("long")
+    """Leading three hex digits of the hash: 4096 buckets in hash order."""
+    return F.substring(hash_col, 1, 3)
 
 
 def hash_fraction(hash_col: Column) -> Column:
@@ -221,27 +220,33 @@ def take_until(
     """Smallest prefix of each group, in order, whose sum of ``value`` reaches
     ``budget`` (a column that is constant in the group); all rows if it never does.
 
-    Bucket totals decide most rows: only the bucket in which the budget runs
-    out is sorted.
+    Bucket totals name, per group, the bucket in which the budget runs out. Rows
+    before it are kept as they are, and only that bucket is put in order.
     """
     placed = df.withColumns(
-        {BUCKET: bucket, "__value": value, GROUP: F.struct(*group) if group else F.lit(0)}
+        {
+            BUCKET: bucket,
+            GROUP: F.struct(*group) if group else F.struct(F.lit(0)),
+            "__value": value,
+            "__budget": budget,
+        }
+    )
+    totals = placed.groupBy(*KEYS).agg(F.sum("__value").alias("__total"), F.max("__budget").alias("__limit"))
+    upto = F.sum("__total").over(
+        Window.partitionBy(GROUP).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    totals = placed.groupBy(*KEYS).agg(F.sum("__value").alias("__total"))
-    before = Window.partitionBy(GROUP).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.withColumn("__base", F.coalesce(F.sum("__total").over(before), F.lit(0)))
-    marked = placed.join(totals, KEYS).filter(F.col("__base") < budget)
-    whole = F.col("__base") + F.col("__total") < budget
-    inner = Window.partitionBy(*KEYS).orderBy(*_cols(order))
-    inner = inner.rowsBetween(Window.unboundedPreceding, -1)
-    kept = marked.filter(whole)
-    cut = (
-        marked.filter(~whole)
-        .withColumn("__before", F.coalesce(F.sum("__value").over(inner), F.lit(0)))
-        .filter(F.col("__base") + F.col("__before") < budget)
-        .drop("__before")
+    totals = totals.withColumn("__upto", upto)
+    full = F.when(F.col("__upto") >= F.col("__limit"), F.struct(BUCKET, F.col("__upto") - F.col("__total")))
+    cuts = totals.groupBy(GROUP).agg(F.min(full).alias("__c"))
+    cuts = cuts.select(GROUP, F.col("__c")[BUCKET].alias("__cut"), F.col("__c.col2").alias("__base"))
+    marked = placed.join(cuts, GROUP)
+    kept = marked.filter(F.col("__cut").isNull() | (F.col(BUCKET) < F.col("__cut")))
+    before = F.sum("__value").over(
+        Window.partitionBy(GROUP).orderBy(*_cols(order)).rowsBetween(Window.unboundedPreceding, -1)
     )
-    return kept.unionByName(cut).drop(*KEYS, "__value", "__total", "__base")
+    last = marked.filter(F.col(BUCKET) == F.col("__cut")).withColumn("__before", before)
+    last = last.filter(F.col("__base") + F.coalesce("__before", F.lit(0)) < F.col("__budget"))
+    return kept.select(*df.columns).unionByName(last.select(*df.columns))
 
 
 def fill_down(
