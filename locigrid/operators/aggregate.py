@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from locigrid.functions.numeric import gc_fraction
 from locigrid.operators.joins import argmax_join, join_null_safe
+from locigrid.session import sized
 
 # Rows of a group whose values may be held in memory by one task.
 GROUP_ROWS = 1 << 20
@@ -23,7 +24,7 @@ def with_group_stats(df: DataFrame, group: Sequence[str], **stats: Column) -> Da
     sort each whole group in one task.
     """
     summary = df.groupBy(*group).agg(*[col.alias(name) for name, col in stats.items()])
-    return join_null_safe(df, summary, group)
+    return join_null_safe(df, sized(summary), group)
 
 
 def share_of_group(df: DataFrame, group: Sequence[str], value: str, name: str) -> DataFrame:

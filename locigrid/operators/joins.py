@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from locigrid.session import sized
+
 # Values of a dimension that fit into one broadcast array.
 DIMENSION_BLOCK = 50_000
 
@@ -122,7 +124,7 @@ def argmax_join(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     group is never sorted in one task.
     """
     best = df.groupBy(*keys).agg(F.max(value).alias("__best"))
-    joined = join_null_safe(df, best, keys)
+    joined = join_null_safe(df, sized(best), keys)
     return joined.filter(is_best(df, value, F.col("__best"))).drop("__best")
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from locigrid.operators.joins import join_null_safe
-from locigrid.session import cut_lineage
+from locigrid.session import cut_lineage, sized
 
 BUCKET = "__bucket"
 GROUP = "__group"
@@ -239,7 +239,7 @@ def take_until(
     full = F.when(F.col("__upto") >= F.col("__limit"), F.struct(BUCKET, F.col("__upto") - F.col("__total")))
     cuts = totals.groupBy(GROUP).agg(F.min(full).alias("__c"))
     cuts = cuts.select(GROUP, F.col("__c")[BUCKET].alias("__cut"), F.col("__c.col2").alias("__base"))
-    marked = placed.join(cuts, GROUP)
+    marked = placed.join(sized(cuts), GROUP)
     kept = marked.filter(F.col("__cut").isNull() | (F.col(BUCKET) < F.col("__cut")))
     before = F.sum("__value").over(
         Window.partitionBy(GROUP).orderBy(*_cols(order)).rowsBetween(Window.unboundedPreceding, -1)

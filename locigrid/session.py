@@ -6,6 +6,11 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# Rows of a summary table that may be sent to every task. Summaries hold a key
+# and a few numbers, so this is some tens of megabytes.
+BROADCAST_ROWS = 500_000
 
 # Runtime settings the plans rely on; a value the cluster already sets wins.
 RUNTIME_DEFAULTS = {
@@ -52,3 +57,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     not force a recomputation and every reader sees the same rows."""
     work_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def sized(df: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """A summary table, written once and counted, as the right side of a join.
+
+    Up to ``max_rows`` it is broadcast, so the large side stays where it is. The
+    planner cannot know this in time: it learns the size of a summary while the
+    large side is already being shuffled. A larger summary joins by shuffle.
+    """
+    written = cut_lineage(df)
+    limit = BROADCAST_ROWS if max_rows is None else max_rows
+    return F.broadcast(written) if written.count() <= limit else written

@@ -199,3 +199,13 @@ def test_missing_and_existing_targets(spark, tmp_path):
 def test_work_folder_follows_the_setting(spark):
     first, second = work_path(spark, "x"), work_path(spark, "x")
     assert first != second and first.rsplit("/", 1)[0] == second.rsplit("/", 1)[0]
+
+
+@pytest.mark.parametrize("limit", [0, 500_000])
+def test_summaries_join_the_same_way_at_any_size(spark, rows, monkeypatch, limit):
+    from locigrid import session
+
+    monkeypatch.setattr(session, "BROADCAST_ROWS", limit)
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), (None, 2.0)], "k string, v double")
+    assert rows(agg.share_of_group(df, ["k"], "v", "s"), "v", "s") == [(1.0, 0.25), (2.0, 1.0), (3.0, 0.75)]
+    assert rows(joins.argmax_join(df, ["k"], "v"), "v") == [(2.0,), (3.0,)]
