@@ -82,6 +82,13 @@ def highlight(label: Column, colour: Column) -> Column:
     return F.when(colour.isNull(), label).otherwise(span)
 
 
+def cell_label(contig: Column, cell: Column) -> Column:
+    """Contig and confusion cell in the colour of the cell; NULL for an unknown cell."""
+    label = F.concat(contig, F.lit(" - "), cell)
+    colour = lookup(cell, CELL_COLOURS)
+    return F.when(colour.isNotNull(), highlight(label, colour))
+
+
 def split_pick(column: Column, separator: str, index: int) -> Column:
     """The 0-based part between separators; NULL when there are fewer parts."""
     return F.get(F.split(column, separator), F.lit(index))

@@ -36,13 +36,13 @@ def share_of_group(df: DataFrame, group: Sequence[str], value: str, name: str) -
 def groups_with_n(df: DataFrame, group: Sequence[str], n: int) -> DataFrame:
     """Rows of the groups that hold exactly ``n`` rows."""
     kept = df.groupBy(*group).agg(F.count("*").alias("__n")).filter(F.col("__n") == n)
-    return join_null_safe(df, kept.drop("__n"), group, "left_semi")
+    return join_null_safe(df, sized(kept.drop("__n")), group, "left_semi")
 
 
 def groups_with_n_distinct(df: DataFrame, group: Sequence[str], column: str, n: int) -> DataFrame:
     """Rows of the groups with exactly ``n`` distinct values."""
     kept = df.groupBy(*group).agg(F.count_distinct(column).alias("__n")).filter(F.col("__n") == n)
-    return join_null_safe(df, kept.drop("__n"), group, "left_semi")
+    return join_null_safe(df, sized(kept.drop("__n")), group, "left_semi")
 
 
 def keep_max(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
@@ -84,11 +84,11 @@ def _large_quantiles(
     """
     margin = 4.0 / SKETCH
     edges = [min(max(p + side * margin, 0.0), 1.0) for p in probs.values() for side in (-1, 1)]
-    mine = join_null_safe(rows, large, group)
+    mine = join_null_safe(rows, sized(large), group)
     sketch = F.percentile_approx(value, F.array(*[F.lit(e) for e in edges]), F.lit(SKETCH))
     # One row per large group.
     brackets = mine.groupBy(*group, "__size").agg(sketch.alias("__b"))
-    placed = join_null_safe(rows, brackets, group)
+    placed = join_null_safe(rows, sized(brackets), group)
     spots = [
         F.struct(
             F.lit(i).alias("spot"),
@@ -123,7 +123,7 @@ def boxplot_stats(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
     """Quartiles, median and the outermost values within 1.5 IQR of the box."""
     box = exact_quantiles(df, group, value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
     reach = 1.5 * (F.col("q3") - F.col("q1"))
-    marked = join_null_safe(df, box, group)
+    marked = join_null_safe(df, sized(box), group)
     low = F.when(F.col(value) >= F.col("q1") - reach, F.col(value))
     high = F.when(F.col(value) <= F.col("q3") + reach, F.col(value))
     return marked.groupBy(*group, "q1", "median", "q3").agg(

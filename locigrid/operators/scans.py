@@ -70,7 +70,7 @@ def rank_in_group(
         return indexed.withColumn(name, F.col("__index") + 1).drop("__index")
     firsts = indexed.groupBy(*group).agg(F.min("__index").alias("__first"))
     return (
-        join_null_safe(indexed, firsts, group)
+        join_null_safe(indexed, sized(firsts), group)
         .withColumn(name, F.col("__index") - F.col("__first") + 1)
         .drop("__index", "__first")
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from locigrid.functions.text import cell_label
 from locigrid.operators import joins, scoring, shape
 from locigrid.operators.aggregate import with_group_stats
 from locigrid.plans.catalog import query
@@ -79,6 +80,22 @@ def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("count_label", label)
 
 
+@query(
+    "C17 A12 P07",
+    """WITH c AS (SELECT doc_id, CASE WHEN quality = 0 AND n_chars < 400 THEN 'true positive' WHEN quality = 0 THEN 'false negative'
+           WHEN n_chars < 400 THEN 'false positive' ELSE 'true negative' END AS cell FROM documents JOIN labels USING (doc_id)),
+         k(cell, colour) AS (VALUES ('true positive', 'red'), ('false negative', 'orange'), ('false positive', 'blue'), ('true negative', 'green'))
+       SELECT doc_id, '<span style=' || chr(39) || 'color:' || colour || chr(39) || '>' || doc_id || ' - ' || cell || '</span>' AS label
+       FROM c JOIN k USING (cell)""",
+)
+def confusion_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row labels coloured by their confusion cell."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    rows = docs.join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+    cell = scoring.measure(F.col("quality") == 0, F.col("n_chars") < 400)
+    return rows.select("doc_id", cell_label(F.col("doc_id").cast("string"), cell).alias("label"))
+
+
 # A detector that finds most moved contigs and a few others, by hash.
 def _predictions(replicates: DataFrame) -> DataFrame:
     moved = F.col("contig").contains("contamination_")
