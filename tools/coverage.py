@@ -24,7 +24,7 @@ def main() -> None:
         "# Coverage",
         "",
         f"{len(catalog)} queries, {sum(q.sql is not None for q in catalog.values())} with a SQL form. "
-        "Names in italics have none and are checked against plain Python in `tests/`.",
+        "Names in italics have none; their operators are tested in `tests/`.",
         "",
         "| ID | Operator | Queries |",
         "| --- | --- | --- |",
