@@ -1,8 +1,9 @@
 """Exact search for the largest inner products.
 
 Vectors are processed by descending length, in blocks. A bounded head of the
-longest gives every query a first lower limit for its k-th score; a block whose
-longest vector cannot reach the limit of a query is never sent to it. Inside a
+longest gives every query a first lower limit for its k-th score, and every wave
+of blocks raises it; a block whose longest vector cannot reach the limit of a
+query is never sent to it. Inside a
 block, vectors and queries are turned so that the leading coordinates hold most
 of the mass; the product of these and the Cauchy-Schwarz bound on the rest show
 which pairs can still reach the limit, and only those are multiplied in full.
@@ -32,6 +33,8 @@ LEADING = 16
 STEP = 512
 # Score of a place not yet taken; its negative is a number too.
 EMPTY = -np.iinfo(np.int64).max
+# Blocks searched before the limits are raised for the first time; then twice as many each time.
+FIRST_WAVE = 4
 CHOSEN = "query_id long, query_mark long, vec_id long, score long"
 
 
@@ -164,21 +167,18 @@ def _search_width(vectors: DataFrame, queries: DataFrame, width: int, top: int)
     edges = sorted({e for e in vectors.approxQuantile("norm", shares, 0.2 * rows / max(count, 1))}) if shares else []
     band = sum(((F.col("norm") < e).cast("int") for e in edges), F.lit(0))
     banded = vectors.withColumn("band", band)
-    # one row per range
-    bands = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("longest")).collect()
-    parts = {r["band"]: max(1, -(-r["n"] // rows)) for r in bands}
-    if not bands:
-        return queries.sparkSession.createDataFrame([], CHOSEN)
-    part = F.pmod(F.xxhash64("vec_id", "mark"), F.create_map(*[F.lit(x) for kv in parts.items() for x in kv])[F.col("band")])
-    group = F.pmod(F.xxhash64("vec_id", "mark"), F.lit(groups)).cast("int")
-    reach = F.array(*[F.struct(F.lit(r["band"]).alias("band"), F.lit(r["longest"]).alias("longest"), F.lit(parts[r["band"]]).alias("parts")) for r in bands])
-    near = F.filter(reach, lambda b: F.col("norm") * b["longest"] * (1 + 1e-9) + 1e-6 >= F.col("limit"))
-    sent = (
-        asked.withColumn("group", group)
-        .withColumn("near", F.explode(near))
-        .select("group", F.col("near.band").alias("band"), F.explode(F.sequence(F.lit(0), F.col("near.parts") - 1)).alias("part"), "vec_id", "mark", "limit", "v")
-    )
-    held = banded.select("band", part.cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), "vec_id", "v")
+    # one row per range; blocks are numbered from the longest vectors on
+    bands = sorted(banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("longest")).collect())
+    reach, parts, firsts, blocks = [], {}, {}, 0
+    for band, n, longest in bands:
+        parts[band], firsts[band] = max(1, -(-n // rows)), blocks
+        reach.append(F.struct(*[F.lit(x).alias(c) for x, c in ((longest, "longest"), (blocks, "first"), (blocks + parts[band] - 1, "last"))]))
+        blocks += parts[band]
+    by_band = lambda numbers: F.create_map(*[F.lit(x) for kv in numbers.items() for x in kv])[F.col("band")]
+    key = F.xxhash64("vec_id", "mark")
+    held = banded.withColumn("block", (by_band(firsts) + F.pmod(key, by_band(parts))).cast("int")) if blocks else banded.withColumn("block", F.lit(0))
+    held = stored(held.select("block", "vec_id", "v"), "blocks")
+    asked = asked.withColumn("group", F.pmod(key, F.lit(groups)).cast("int"))
 
     def run(query: pa.Table, block: pa.Table) -> pa.Table:
         names = ["query_id", "query_mark", "vec_id", "score"]
@@ -190,8 +190,31 @@ def _search_width(vectors: DataFrame, queries: DataFrame, width: int, top: int)
         row, place = np.nonzero(best.scores > EMPTY)
         return pa.table([pa.array(x) for x in (ids[row], marks[row], best.found[row, place], best.scores[row, place])], names=names)
 
-    keys = ["group", "band", "part"]
-    return sent.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(run, CHOSEN)
+    found, low, wave = queries.sparkSession.createDataFrame([], CHOSEN), 0, FIRST_WAVE
+    while low < blocks:
+        high = min(blocks, low + wave)
+        near = F.filter(F.array(*reach), lambda b: (F.col("norm") * b["longest"] * (1 + 1e-9) + 1e-6 >= F.col("limit")) & (b["first"] < high) & (b["last"] >= low))
+        sent = asked.withColumn("near", F.explode(near)).select(
+            "group", F.explode(F.sequence(F.greatest("near.first", F.lit(low)), F.least("near.last", F.lit(high - 1)))).alias("block"), "vec_id", "mark", "limit", "v"
+        )
+        part = held.filter((F.col("block") >= low) & (F.col("block") < high))
+        part = part.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), "block", "vec_id", "v")
+        met = sent.groupBy("group", "block").cogroup(part.groupBy("group", "block")).applyInArrow(run, CHOSEN)
+        found = stored(_leading(found.union(met), top), "found")
+        low, wave = high, 2 * wave
+        if low < blocks:
+            # what is found raises the limits for the shorter vectors
+            least = found.groupBy(F.col("query_id").alias("vec_id"), F.col("query_mark").alias("mark")).agg(
+                F.when(F.count(F.lit(1)) >= top, F.min("score")).cast("double").alias("least")
+            )
+            raised = asked.join(least, ["vec_id", "mark"], "left").withColumn("limit", F.greatest("limit", "least"))
+            asked = stored(raised.select(*asked.columns), "queries")
+    return found
+
+
+def _leading(found: DataFrame, top: int) -> DataFrame:
+    order = Window.partitionBy("query_id", "query_mark").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).drop("rank")
 
 
 def top_inner_products(embeddings: DataFrame, queries: DataFrame, top: int = TOP, scale: int = SCALE) -> DataFrame:
