@@ -14,7 +14,7 @@ from functools import reduce
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
 
-from locigrid.llm.common import text_or_empty
+from locigrid.llm.common import stored, text_or_empty
 from locigrid.session import work_path
 
 RULE_VERSION = "base-1"
@@ -102,7 +102,8 @@ def findings(docs: DataFrame, ledger: str | None = None, version: str = RULE_VER
     each. Only blobs with findings travel to the paths.
     """
     scanned = update_ledger(docs, ledger or work_path(docs.sparkSession, "ledger"), version, rules)
-    hits = scanned.filter(F.size("spans") > 0).groupBy("blob").agg(F.first("spans").alias("spans"))
+    # written, so that the join deals both sides out itself and can split a blob with very many paths
+    hits = stored(scanned.filter(F.size("spans") > 0).groupBy("blob").agg(F.first("spans").alias("spans")), "hits")
     paths = paths_of(docs)
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     return paths.join(hits, "blob", "left").select("doc_id", "blob", F.coalesce("spans", none).alias("spans"))
@@ -142,7 +143,8 @@ def without_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFra
     Blobs with findings come from the ledger; a missing text stays missing.
     """
     scanned = update_ledger(docs, work_path(docs.sparkSession, "ledger"), RULE_VERSION, rules)
-    hits = scanned.filter(F.size("spans") > 0).groupBy("blob").agg(F.first("spans").alias("__spans")).withColumnRenamed("blob", "__blob")
+    hits = stored(scanned.filter(F.size("spans") > 0).groupBy("blob").agg(F.first("spans").alias("__spans")), "hits")
+    hits = hits.withColumnRenamed("blob", "__blob")
     blob = F.sha2(text_or_empty(), 256)
     joined = docs.withColumn("__key", blob).join(hits, F.col("__key") == F.col("__blob"), "left")
     hit = F.col("__spans").isNotNull()
