@@ -246,6 +246,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     group = linked.groupBy("label").agg(F.min("least").alias("component_id"))
     of_linked = linked.join(group, "label").select("fp", "component_id")
     of_fp = different.join(of_linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    # written, so that the join deals both sides out itself and can split a fingerprint of very many rows
+    of_fp = stored(of_fp, "labels")
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return marked.join(of_fp, "fp").select("doc_id", digits, "component_id", "text_hash")
 
