@@ -133,11 +133,13 @@ def thresholds(counts: DataFrame) -> DataFrame:
             columns.append(F.max(F.when(mine, F.col("q1") - reach)).alias(f"low_{m}"))
     table = quartiles.groupBy("level", "lang", "source").agg(*columns)
     limits = [c for c in table.columns if c.startswith(("high_", "low_"))]
+    table = stored(table, "quartiles")
+    overall = table.filter("level = 2").first()
     own = table.filter("level = 0").drop("level")
     of_lang = table.filter("level = 1").select(F.col("lang").alias("l_lang"), F.col("rows").alias("l_rows"), *[F.col(c).alias(f"l_{c}") for c in limits])
-    of_all = table.filter("level = 2").select(F.lit(2).alias("a_level"), *[F.col(c).alias(f"a_{c}") for c in limits])
-    joined = own.withColumn("a_level", F.lit(2)).join(of_lang, F.col("lang").eqNullSafe(F.col("l_lang")), "left").join(of_all, "a_level", "left")
-    pick = lambda c: F.when(F.col("rows") >= LEAST_ROWS, F.col(c)).when(F.col("l_rows") >= LEAST_ROWS, F.col(f"l_{c}")).otherwise(F.col(f"a_{c}"))
+    joined = own.join(of_lang, F.col("lang").eqNullSafe(F.col("l_lang")), "left")
+    of_all = lambda c: F.lit(overall[c] if overall else None).cast("long")
+    pick = lambda c: F.when(F.col("rows") >= LEAST_ROWS, F.col(c)).when(F.col("l_rows") >= LEAST_ROWS, F.col(f"l_{c}")).otherwise(of_all(c))
     return joined.select("lang", "source", *[pick(c).alias(c) for c in limits])
 
 
