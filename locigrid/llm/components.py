@@ -16,14 +16,14 @@ def _digest(links: DataFrame) -> tuple:
 def _large_star(links: DataFrame) -> DataFrame:
     """Each node gives its larger neighbours the least of its neighbourhood."""
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("low"))
+    least = stored(both.groupBy("a").agg(F.min("b").alias("low")), "least")
     out = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.least("low", "a").alias("b"))
     return out.distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     """Each node gives its smaller neighbours, and itself, the least of them; links go from larger to smaller."""
-    least = links.groupBy("a").agg(F.min("b").alias("low"))
+    least = stored(links.groupBy("a").agg(F.min("b").alias("low")), "least")
     moved = links.join(least, "a").filter("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
     return moved.union(least.select("a", F.col("low").alias("b"))).distinct()
 
@@ -32,9 +32,9 @@ def components(links: DataFrame) -> DataFrame:
     """node and label of every node of ``links`` (a, b); the label is the least node it can reach.
 
     Stars around the least node are formed in turn on both sides of the nodes
-    until the links no longer change. Minima are aggregated before they are
-    joined back, so a node with very many links costs no task more than others.
-    Each round is written, and a lost executor repeats at most one.
+    until the links no longer change. Minima are aggregated, and written, before
+    they are joined back, so that the join can split a node with very many links.
+    Each round is written too, and a lost executor repeats at most one.
     """
     now = links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now = stored(now, "links")
