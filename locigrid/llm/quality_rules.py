@@ -99,7 +99,7 @@ def failed_base() -> Column:
 
 
 def value_of(measure: str) -> Column:
-    return F.expr(f"CAST({MEASURES[measure][0]} AS BIGINT) div n_words")
+    return F.expr(f"CAST({MEASURES[measure][0]} AS BIGINT) div nullif(n_words, 0)")
 
 
 def sketches(counts: DataFrame) -> DataFrame:
@@ -167,16 +167,18 @@ def verdicts(docs: DataFrame) -> DataFrame:
 
 
 def _sql() -> str:
-    value = {m: f"(CAST({e} AS BIGINT) // n_words)" for m, (e, _, _) in MEASURES.items()}
+    value = {m: f"(CAST({e} AS BIGINT) // nullif(n_words, 0))" for m, (e, _, _) in MEASURES.items()}
     bins = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS measure, {v} AS v FROM ok" for m, v in value.items())
     limits = [(f"high_{m}", f"max(CASE WHEN measure = '{m}' THEN q3 + {REACH} * greatest(q3 - q1, {least}) END)") for m, (_, _, least) in MEASURES.items()]
     limits += [(f"low_{m}", f"max(CASE WHEN measure = '{m}' THEN q1 - {REACH} * greatest(q3 - q1, {least}) END)") for m, (_, two, least) in MEASURES.items() if two]
     pick = ", ".join(f"CASE WHEN o.n >= {LEAST_ROWS} THEN o.{c} WHEN l.n >= {LEAST_ROWS} THEN l.{c} ELSE a.{c} END AS {c}" for c, _ in limits)
     inside = " AND ".join([f"{v} <= high_{m}" for m, v in value.items()] + [f"{value[m]} >= low_{m}" for m, (_, two, _) in MEASURES.items() if two])
+    gram = " || ' ' || ".join(["a"] + [f"lead(a, {k}) OVER o" for k in range(1, WINDOW)])
     return f"""WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t FROM documents),
     w AS (SELECT *, list_filter(string_split_regex(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM d),
-    g AS (SELECT doc_id, unnest(range(1, len(ws) - {WINDOW - 2})) AS i, ws FROM w WHERE len(ws) >= {WINDOW}),
-    h AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(ws[i:i + {WINDOW - 1}], ' ')) AS c FROM g),
+    g AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS a FROM w),
+    k AS (SELECT doc_id, i, {gram} AS gram FROM g WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+    h AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS c FROM k WHERE gram IS NOT NULL),
     r AS (SELECT doc_id, sum(least({WINDOW}, coalesce(nxt - i, {WINDOW}))) AS n FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM h WHERE c > 1) GROUP BY doc_id),
     m AS (SELECT w.doc_id, lang, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
         CAST(len(regexp_extract_all(t, '{SYMBOLS}')) AS BIGINT) AS n_symbols,
