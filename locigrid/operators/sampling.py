@@ -87,8 +87,10 @@ def inject_foreign(
 
     Each contig moves at most once and leaves its donor, and every donor gives
     once before any gives twice. Bins with eligible contigs are ranked by hash
-    and give to the bin of the next rank; the other bins take further contigs
-    from the donors in rank order. The job fails if a donor runs out.
+    and give their first contig to the bin of the next rank. The other bins take
+    the further contigs, all second ones in rank order, then all third ones, so
+    a donor that has none left is passed over. The job fails only where the
+    eligible contigs are fewer than the bins, or all belong to one bin.
 
     Returns the replicate tables, with ``contamination_`` before moved contigs,
     and the moves (benchmark, contig, donor, bin).
@@ -106,19 +108,7 @@ def inject_foreign(
         .withColumn("__r", F.col("__r") - 1)
     )
     n_donors = ranked.filter("__donor").groupBy("benchmark").agg(F.count("*").alias("__d"))
-    takers = ranked.join(n_donors, "benchmark").select(
-        "benchmark",
-        "bin",
-        F.when(F.col("__donor"), F.pmod(F.col("__r") + 1, F.col("__d")))
-        .otherwise(F.pmod(F.col("__r"), F.col("__d")))
-        .alias("__from"),
-        F.when(F.col("__donor"), F.lit(1).cast("long"))
-        .otherwise(F.floor(F.col("__r") / F.col("__d")) + 2)
-        .alias("__pick"),
-    )
-    givers = ranked.filter("__donor").select(
-        "benchmark", F.col("bin").alias("donor"), F.col("__r").alias("__from")
-    )
+    givers = ranked.filter("__donor").select("benchmark", F.col("bin").alias("donor"), F.col("__r").alias("__from"))
     picks = with_replicates(
         eligible.select(F.col("bin").alias("donor"), "contig").distinct(), replicates
     ).withColumn("__h", seeded_hash(seed, "pick", F.col("benchmark"), F.col("contig")))
@@ -128,11 +118,22 @@ def inject_foreign(
         .result()
         .drop("__h")
     )
-    moves = takers.join(givers, ["benchmark", "__from"]).join(
-        picks, ["benchmark", "donor", "__pick"], "left"
+    # a round holds at most one contig per donor
+    owned = picks.join(givers, ["benchmark", "donor"])
+    spare = (
+        OrderedScan(owned.filter("__pick > 1"), ["benchmark"], ["__pick", "__from"], F.col("__pick"))
+        .running_sum(F.lit(1), "__place")
+        .result()
+        .select("benchmark", "donor", "contig", "__place")
     )
+    next_rank = F.pmod(F.col("__r") + 1, F.col("__d")).alias("__from")
+    swaps = ranked.filter("__donor").join(n_donors, "benchmark").select("benchmark", "bin", next_rank)
+    swaps = swaps.join(owned.filter("__pick = 1").drop("__pick"), ["benchmark", "__from"], "left").drop("__from")
+    gifts = ranked.filter("NOT __donor").select("benchmark", "bin", (F.col("__r") + 1).alias("__place"))
+    gifts = gifts.join(spare, ["benchmark", "__place"], "left").drop("__place")
+    moves = swaps.unionByName(gifts)
     usable = F.col("contig").isNotNull() & (F.col("donor") != F.col("bin"))
-    failed = F.assert_true(usable, F.lit("a donor bin has no contig left to give"))
+    failed = F.assert_true(usable, F.lit("no contig left to give"))
     # Bins times replicates rows; both results read them.
     moves = cut_lineage(moves.filter(failed.isNull()).select("benchmark", "contig", "donor", "bin"))
     kept = anti(with_replicates(contig_bin, replicates), moves, ["benchmark", "contig"])

@@ -10,8 +10,7 @@ from locigrid.operators.aggregate import groups_with_n
 from locigrid.plans.catalog import query
 from locigrid.plans.standins import CONTIG_BIN, SCORED, contig_bin, scored, table, text_of
 
-REPLICATES = 10
-
+REPLICATES = 50
 
 
 @query(
@@ -89,10 +88,11 @@ MOVES = f"""{MOVABLE}, {ROOMY}, reps AS (SELECT CAST(unnest(range({REPLICATES}))
   bins AS (SELECT benchmark, bin, bin IN (SELECT bin FROM el) AS donor, md5('42|' || CAST(benchmark AS VARCHAR) || '|' || bin) AS h FROM (SELECT DISTINCT bin FROM contigs), reps),
   ranked AS (SELECT *, row_number() OVER (PARTITION BY benchmark, donor ORDER BY h, bin) - 1 AS r FROM bins),
   d AS (SELECT benchmark, count(*) AS d FROM ranked WHERE donor GROUP BY 1),
-  takers AS (SELECT benchmark, bin, CASE WHEN donor THEN (r + 1) % d ELSE r % d END AS src, CASE WHEN donor THEN 1 ELSE r // d + 2 END AS pick FROM ranked JOIN d USING (benchmark)),
   picks AS (SELECT benchmark, bin AS donor, contig, row_number() OVER (PARTITION BY benchmark, bin ORDER BY md5('42|pick|' || CAST(benchmark AS VARCHAR) || '|' || contig), contig) AS pick FROM el, reps),
-  moves AS (SELECT t.benchmark, p.contig, p.donor, t.bin FROM takers t JOIN ranked g ON g.benchmark = t.benchmark AND g.donor AND g.r = t.src
-     JOIN picks p ON p.benchmark = t.benchmark AND p.donor = g.bin AND p.pick = t.pick)"""
+  owned AS (SELECT p.*, g.r AS src FROM picks p JOIN ranked g ON g.benchmark = p.benchmark AND g.donor AND g.bin = p.donor),
+  spare AS (SELECT *, row_number() OVER (PARTITION BY benchmark ORDER BY pick, src) AS place FROM owned WHERE pick > 1),
+  moves AS (SELECT t.benchmark, o.contig, o.donor, t.bin FROM ranked t JOIN d USING (benchmark) JOIN owned o ON o.benchmark = t.benchmark AND o.pick = 1 AND o.src = (t.r + 1) % d WHERE t.donor
+     UNION ALL SELECT t.benchmark, s.contig, s.donor, t.bin FROM ranked t JOIN spare s ON s.benchmark = t.benchmark AND s.place = t.r + 1 WHERE NOT t.donor)"""
 
 
 def _moves(spark: SparkSession, sf_dir: str):

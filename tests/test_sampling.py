@@ -48,6 +48,17 @@ def test_injection_fails_when_a_donor_runs_out(spark):
         sampling.inject_foreign(table, table.filter("bin IN ('d')"), 1)[0].count()
 
 
+def test_injection_passes_over_a_donor_with_nothing_left(spark):
+    pairs = [("a1", "a")] + [(f"b{k}", "b") for k in range(4)] + [("c1", "c"), ("d1", "d")]
+    table = spark.createDataFrame(pairs, "contig string, bin string")
+    replicates, moves = sampling.inject_foreign(table, table.filter("bin IN ('a', 'b')"), 6)
+    found = moves.collect()
+    assert len(found) == 6 * 4 and all(r["donor"] != r["bin"] for r in found)
+    assert {r["donor"] for r in found if r["bin"] in "cd"} == {"b"}
+    assert moves.select("benchmark", "contig").distinct().count() == 24
+    assert replicates.count() == 6 * 7
+
+
 def test_holdout_removes_one_per_eligible_bin(spark, rows):
     table = bins(spark)
     eligible = table.filter("bin IN ('a', 'd')")
