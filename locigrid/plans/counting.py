@@ -88,6 +88,8 @@ def distinct_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     "A10",
     """SELECT user_id, coalesce(max(CASE WHEN event_type = 'click' THEN v END), 0) AS click,
          coalesce(max(CASE WHEN event_type = 'error' THEN v END), 0) AS error,
+         coalesce(max(CASE WHEN event_type = 'purchase' THEN v END), 0) AS purchase,
+         coalesce(max(CASE WHEN event_type = 'signup' THEN v END), 0) AS signup,
          coalesce(max(CASE WHEN event_type = 'view' THEN v END), 0) AS view
        FROM (SELECT user_id, event_type, round(sum(value), 4) AS v FROM events GROUP BY 1, 2) GROUP BY 1""",
 )
@@ -95,7 +97,7 @@ def pivoted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long to wide with an explicit name list, missing cells 0."""
     long = table(spark, sf_dir, "events").groupBy("user_id", "event_type")
     long = long.agg(F.round(F.sum("value"), 4).alias("v"))
-    return shape.pivot_wide(long, ["user_id"], "event_type", "v", ["click", "error", "view"], 0)
+    return shape.pivot_wide(long, ["user_id"], "event_type", "v", ["click", "error", "purchase", "signup", "view"], 0)
 
 
 @query(

@@ -116,7 +116,7 @@ def kmeans_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("M07 M05")
 def mixture_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gaussian mixture on the leading components."""
-    return clustering.gmm_labels(_reduced(embeddings(spark, sf_dir), 0.2), 10)
+    return clustering.gmm_labels(_reduced(embeddings(spark, sf_dir)), 10)
 
 
 @query("M08 M22")
