@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -13,11 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from locigrid.operators.joins import join_null_safe
-from locigrid.operators.scans import ordered_index, seeded_hash, top_k
+from locigrid.operators.linkage import TAIL, average_cost, followed, merge_tree
+from locigrid.operators.scans import ordered_index
 from locigrid.operators.shape import min_evidence
-
-# Rows of a group whose order is worked out pair by pair.
-LEAVES = 256
+from locigrid.session import cut_lineage, sized
 
 
 def feature_index(df: DataFrame, feature: str) -> DataFrame:
@@ -153,70 +151,19 @@ def evidence_sweep(df: DataFrame, limits: Sequence[float], min_cov: float = 0.0)
     return passed.withColumn("limit", levels).filter(weight >= F.col("limit"))
 
 
-def average_linkage_order(matrix: np.ndarray) -> list[int]:
-    """Leaf order of average linkage on Euclidean distance, lowest pair first."""
-    n = len(matrix)
-    dist = np.sqrt(((matrix[:, None, :] - matrix[None, :, :]) ** 2).sum(axis=2))
-    np.fill_diagonal(dist, np.inf)
-    leaves = [[i] for i in range(n)]
-    for _ in range(n - 1):
-        i, j = np.unravel_index(np.argmin(dist), dist.shape)
-        i, j = min(i, j), max(i, j)
-        a, b = len(leaves[i]), len(leaves[j])
-        merged = (a * dist[i] + b * dist[j]) / (a + b)
-        dist[i], dist[:, i] = merged, merged
-        dist[i, i] = np.inf
-        dist[j], dist[:, j] = np.inf, np.inf
-        leaves[i] = leaves[i] + leaves[j]
-        leaves[j] = []
-    return max(leaves, key=len) if n else []
-
-
-def leaf_order(
-    vectors: DataFrame, group: Sequence[str], row: str, leaves: int = LEAVES, seed: int = 1
-) -> DataFrame:
-    """Axis order of the rows of each group: ``leaf`` then ``distance`` then key.
+def leaf_order(vectors: DataFrame, group: Sequence[str], row: str, tail: int = TAIL) -> DataFrame:
+    """Axis order of the rows of each group: ``leaf`` then key.
 
-    Up to ``leaves`` rows per group, picked by hash, are ordered by average
-    linkage; a group no larger than that is ordered whole and every distance
-    is 0. The rows of a larger group stand beside the picked row they are
-    nearest to, so a group never has to fit one task.
+    The order of the leaves under average linkage on squared Euclidean distance;
+    the cluster with the smaller first key stands first. Rows with equal vectors
+    share a leaf, the number of rows that stand before them.
     """
-    tagged = vectors.withColumn("__h", seeded_hash(seed, F.col(row)))
-    picked = top_k(tagged, group, ["__h", row], leaves).select(*group, row, "features")
-    fields = {f.name: f.dataType.simpleString() for f in vectors.schema.fields}
-    names = [*group, row, "features"]
-    schema = ", ".join(f"`{c}` {fields[c]}" for c in names) + ", leaf int"
-
-    def order(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(row, ignore_index=True)
-        places = average_linkage_order(np.stack(pdf["features"].to_numpy()).astype(float))
-        leaf = np.empty(len(pdf), dtype="int32")
-        leaf[places] = np.arange(len(pdf), dtype="int32")
-        return pdf.assign(leaf=leaf)
-
-    ordered = picked.select(*names).groupBy(*group).applyInPandas(order, schema)
-    # At most ``leaves`` entries per group.
-    packed = ordered.groupBy(*group).agg(
-        F.collect_list(F.struct("leaf", F.col("features").alias("f"))).alias("__picked")
-    )
-
-    def distance(x: Column, y: Column) -> Column:
-        squares = F.zip_with(x, y, lambda p, q: (p - q) * (p - q))
-        return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda acc, s: acc + s))
-
-    nearest = F.array_min(
-        F.transform(
-            "__picked",
-            lambda r: F.struct(distance(F.col("features"), r["f"]).alias("distance"), r["leaf"].alias("leaf")),
-        )
-    )
-    own = ordered.select(*group, row, F.col("leaf").alias("__own"))
-    rows = join_null_safe(vectors, packed, group).withColumn("__n", nearest)
-    rows = join_null_safe(rows, own, [*group, row], "left")
-    return rows.select(
-        *group,
-        row,
-        F.coalesce(F.col("__own"), F.col("__n.leaf")).alias("leaf"),
-        F.when(F.col("__own").isNotNull(), F.lit(0.0)).otherwise(F.col("__n.distance")).alias("distance"),
-    )
+    rows = vectors.withColumn("__f", F.col("features").cast("array<double>"))
+    groups = cut_lineage(ordered_index(rows.select(*group).distinct(), list(group), "__g"))
+    rows = cut_lineage(join_null_safe(rows, groups, group))
+    leaves = rows.groupBy("__g", "__f").agg(F.count("*").alias("__w"), F.min(row).alias("__first"))
+    leaves = cut_lineage(ordered_index(leaves, ["__g", "__first"], "__id"))
+    merges = merge_tree(leaves.select(*[F.col(f"__{c}").alias(n) for c, n in zip("g id f w".split(), "g id c w".split())]), average_cost, tail)
+    places = followed(merges).select(F.col("g").alias("__g"), F.col("id").alias("__id"), "ahead")
+    placed = leaves.join(places, ["__g", "__id"], "left").select("__g", "__f", F.coalesce("ahead", F.lit(0).cast("long")).alias("leaf"))
+    return rows.join(sized(placed), ["__g", "__f"]).select(*group, row, "leaf")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from locigrid.operators import classify, clustering, features, neighbours
+from locigrid.operators import classify, clustering, features, linkage, neighbours
 
 
 def blobs(spark, n=180, d=5, classes=3, gap=8.0, seed=4):
@@ -42,26 +42,55 @@ def test_clusterings_agree_on_clear_groups(spark, name):
     assert agreement(frame, labels) > (0.75 if name == "spectral" else 0.97)
 
 
-def naive_ward(x, k):
+def naive_merges(x, k, average=False):
     groups = [[i] for i in range(len(x))]
     while len(groups) > k:
         def cost(pair):
             a, b = (x[groups[p]] for p in pair)
-            gap = ((a.mean(axis=0) - b.mean(axis=0)) ** 2).sum()
-            return len(a) * len(b) / (len(a) + len(b)) * gap
+            if average:
+                return np.mean([((p - q) ** 2).sum() for p in a for q in b])
+            return len(a) * len(b) / (len(a) + len(b)) * ((a.mean(axis=0) - b.mean(axis=0)) ** 2).sum()
         i, j = min(itertools.combinations(range(len(groups)), 2), key=cost)
         groups[i] += groups.pop(j)
     return {frozenset(g) for g in groups}
 
 
-def test_ward_is_exact_on_few_rows(spark):
-    x = np.random.default_rng(8).normal(size=(30, 3))
+@pytest.mark.parametrize("tail", [256, 20])
+def test_ward_agrees_with_merging_one_by_one(spark, tail):
+    x = np.random.default_rng(8).normal(size=(40, 3))
     x[3] = x[9]
+    x[39] += 50
     frame = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, features array<double>")
     groups = {}
-    for r in clustering.ward_labels(frame, 4).collect():
+    for r in clustering.ward_labels(frame, 4, tail).collect():
         groups.setdefault(r["cluster"], set()).add(r["id"])
-    assert {frozenset(g) for g in groups.values()} == naive_ward(x, 4)
+    assert {frozenset(g) for g in groups.values()} == naive_merges(x, 4)
+    assert all(c == min(g) for c, g in groups.items())
+
+
+@pytest.mark.parametrize("tail", [256, 16])
+def test_every_cluster_of_the_tree_stands_together(spark, tail):
+    x = np.random.default_rng(3).normal(size=(24, 2))
+    x[5] = x[17]
+    rows = [("g", f"r{i:02}", r.tolist()) for i, r in enumerate(x)] + [("h", "only", [1.0, 1.0]), (None, "b", [2.0, 0.0]), (None, "a", [2.0, 0.0])]
+    df = spark.createDataFrame(rows, "g string, row string, features array<double>")
+    out = features.leaf_order(df, ["g"], "row", tail).orderBy("g", "leaf", "row").collect()
+    assert len(out) == 27 and [r["leaf"] for r in out if r["g"] != "g"] == [0, 0, 0]
+    order = [int(r["row"][1:]) for r in out if r["g"] == "g"]
+    assert sorted(order) == list(range(24)) and abs(order.index(5) - order.index(17)) == 1
+    for k in range(1, 24):
+        for group in naive_merges(x, k, average=True):
+            places = sorted(order.index(i) for i in group)
+            assert places[-1] - places[0] == len(group) - 1
+
+
+def test_clusters_in_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(linkage, "BLOCK", 7)
+    x = np.random.default_rng(4).normal(size=(50, 2))
+    leaves = spark.createDataFrame([(0, i, r.tolist(), 1) for i, r in enumerate(x)], "g long, id long, c array<double>, w long")
+    key = lambda r: (round(r["height"], 9), r["into"], r["gone"])
+    cut, whole = (sorted(map(key, linkage.merge_tree(leaves, linkage.ward_cost, t).collect())) for t in (30, 100))
+    assert cut == whole and len(cut) == 49
 
 
 def test_linear_discriminant_formula(spark):
@@ -136,20 +165,3 @@ def test_imputation(spark):
     assert got["c1"] == [1.0, 0.0, 0.0]
     raw = {r["contig"]: r["features"] for r in features.feature_vectors(df, ["contig"], "motif", "x", index).collect()}
     assert raw == {"c1": [1.0, None, None], "c2": [3.0, None, 5.0], "c3": [None, 7.0, None]}
-
-
-@pytest.mark.parametrize("leaves", [256, 4])
-def test_leaf_order_is_a_permutation_that_keeps_groups_together(spark, leaves):
-    rows = [("g", f"r{i}", [float(i % 2) * 10 + i * 0.01, 0.0]) for i in range(12)] + [("h", "only", [1.0, 1.0])]
-    df = spark.createDataFrame(rows, "g string, row string, features array<double>")
-    out = features.leaf_order(df, ["g"], "row", leaves).orderBy("g", "leaf", "distance", "row").collect()
-    assert len(out) == 13 and out[-1]["row"] == "only"
-    sides = [int(r["row"][1:]) % 2 for r in out[:-1]]
-    assert sides == sorted(sides) or sides == sorted(sides, reverse=True)
-    if leaves > 12:
-        assert [r["leaf"] for r in out[:-1]] == list(range(12))
-
-
-def test_average_linkage_by_hand():
-    x = np.array([[0.0], [10.0], [1.0], [11.0], [5.2]])
-    assert features.average_linkage_order(x) in ([0, 2, 4, 1, 3], [0, 2, 1, 3, 4], [1, 3, 4, 0, 2], [1, 3, 0, 2, 4])
