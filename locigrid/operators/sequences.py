@@ -186,14 +186,17 @@ def find_motifs(seqs: DataFrame, motifs: Sequence[tuple[str, str, int]], chunk:
     )
     hits = []
     for motif, mod_type, position in motifs:
-        for strand, text in (("+", motif), ("-", reverse_complement(motif))):
+        back = reverse_complement(motif)
+        # a palindrome is found once and stands on both strands
+        sides = ((["+", "-"], motif),) if back == motif else ((["+"], motif), (["-"], back))
+        for strands, text in sides:
             starts = F.filter(
                 _starts(F.col("__piece"), motif_pattern(text)), lambda i: i < F.lit(chunk)
             )
             hits.append(
                 F.struct(
                     F.lit(motif).alias("motif"), F.lit(mod_type).alias("mod_type"),
-                    F.lit(position).alias("mod_position"), F.lit(strand).alias("strand"),
+                    F.lit(position).alias("mod_position"), F.lit(strands).alias("strands"),
                     starts.alias("starts"),
                 )
             )
@@ -201,9 +204,10 @@ def find_motifs(seqs: DataFrame, motifs: Sequence[tuple[str, str, int]], chunk:
         cut.select("contig", "__offset", F.explode(F.array(*hits)).alias("h"))
         .select("contig", "__offset", "h.*")
         .select(
-            "contig", "motif", "mod_type", "mod_position", "strand", "__offset",
+            "contig", "motif", "mod_type", "mod_position", "strands", "__offset",
             F.explode("starts").alias("__at"),
         )
+        .withColumn("strand", F.explode("strands"))
         .withColumn("start", F.col("__offset") + F.col("__at"))
         .select("contig", "start", "strand", "motif", "mod_type", "mod_position")
     )

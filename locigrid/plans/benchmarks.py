@@ -158,7 +158,7 @@ def mean_metrics_over_replicates(spark: SparkSession, sf_dir: str) -> DataFrame:
              (SELECT bin_truth AS bin, benchmark, {CELL_SUMS} FROM sr GROUP BY 1, 2) USING (bin, benchmark)), {METRICS_SQL},
           l AS (SELECT bin, 'sensitivity' AS x_axis, sensitivity AS v FROM metrics UNION ALL SELECT bin, 'specificity', specificity FROM metrics UNION ALL SELECT bin, 'precision', precision FROM metrics
             UNION ALL SELECT bin, 'accuracy', accuracy FROM metrics UNION ALL SELECT bin, 'F1', f1 FROM metrics),
-          {SCORED}, {CONTIG_BIN}, s AS (SELECT bin, motif, round(sum(median), 2) / count(*) AS m FROM scored JOIN contig_bin USING (contig) WHERE mean_read_cov >= 8 GROUP BY 1, 2),
+          {SCORED}, {CONTIG_BIN}, s AS (SELECT bin, motif, round(sum(median), 2) / count(*) AS m FROM scored JOIN contig_bin USING (contig) WHERE mean_read_cov >= 3 GROUP BY 1, 2),
           k AS (SELECT DISTINCT motif FROM s WHERE m > 0.5), sg AS (SELECT * FROM (SELECT DISTINCT bin FROM s), k)
         SELECT bin, x_axis, round(avg(round(v, 9)), 6) AS value, CAST(NULL AS VARCHAR) AS label, 'metric' AS "group" FROM l WHERE v IS NOT NULL GROUP BY 1, 2
         UNION ALL SELECT bin, motif, round(coalesce(m, 0), 9), CASE WHEN m IS NULL THEN '·' END, 'methylation' FROM sg LEFT JOIN s USING (bin, motif)""",
@@ -175,7 +175,7 @@ def benchmark_heat_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     long = shape.present(long, "value").withColumn("value", F.round("value", 9))
     metrics = long.groupBy("bin", F.col("metric").alias("x_axis")).agg(r6(F.avg("value")).alias("value"))
 
-    scores = scored(spark, sf_dir).filter("mean_read_cov >= 8").join(contig_bin(spark, sf_dir), "contig")
+    scores = scored(spark, sf_dir).filter("mean_read_cov >= 3").join(contig_bin(spark, sf_dir), "contig")
     means = scores.groupBy("bin", F.col("motif").alias("x_axis")).agg(
         (F.round(F.sum("median"), 2) / F.count("*")).alias("m")
     )

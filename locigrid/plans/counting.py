@@ -432,13 +432,13 @@ def soft_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "M25 T03",
     f"""WITH {SCORED}, {CONTIG_BIN}, m AS (SELECT bin, motif, round(avg(median), 9) AS mean, max(median) AS top FROM scored JOIN contig_bin USING (contig)
-            WHERE mean_read_cov >= 8 GROUP BY 1, 2)
+            WHERE mean_read_cov >= 3 AND n_motif_obs * mean_read_cov >= 17 GROUP BY 1, 2)
         SELECT bin, motif, mean, 'high' AS side FROM m WHERE top >= 1.0 UNION ALL
         SELECT bin, motif, mean, 'low' FROM (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY mean DESC, motif) AS n FROM m WHERE mean < 0.5) WHERE n <= 3""",
 )
 def motif_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Motifs that reach a limit, plus a few low ones, per bin."""
-    rows = scored(spark, sf_dir).filter("mean_read_cov >= 8").join(contig_bin(spark, sf_dir), "contig")
+    rows = shape.min_evidence(scored(spark, sf_dir), 17, 3, strict=False).join(contig_bin(spark, sf_dir), "contig")
     return scoring.contrast_features(rows, ["bin"], "motif", "median", 1.0, 0.5, 3)
 
 
@@ -457,12 +457,12 @@ def evidence_limit_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CELLS = f"""cells AS (SELECT contig, bin, motif, avg(median) AS x FROM scored JOIN contig_bin USING (contig)
-  WHERE mean_read_cov >= 8 AND n_motif_obs >= 48 GROUP BY 1, 2, 3)"""
+  WHERE mean_read_cov >= 3 AND n_motif_obs * mean_read_cov >= 17 GROUP BY 1, 2, 3)"""
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sparse contig by motif table: most cells are missing."""
-    rows = scored(spark, sf_dir).filter("mean_read_cov >= 8 AND n_motif_obs >= 48")
+    """Contig by motif table of the rows with enough evidence."""
+    rows = shape.min_evidence(scored(spark, sf_dir), 17, 3, strict=False)
     rows = rows.join(contig_bin(spark, sf_dir), "contig")
     return rows.groupBy("contig", "bin", "motif").agg(F.avg("median").alias("x"))
 

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from locigrid.functions.text import remove_first
 from locigrid.operators import aggregate as agg
-from locigrid.operators import classify, clustering, features, neighbours, scoring, shape
+from locigrid.operators import classify, clustering, features, neighbours, sampling, scoring, shape
 from locigrid.operators.scans import ordered_index
 from locigrid.plans.catalog import query
-from locigrid.plans.counting import cells, lengths
-from locigrid.plans.standins import embeddings, hash_share, hash_share_sql, r6
+from locigrid.plans.standins import embeddings, hash_share, hash_share_sql, r6, table, text_of
 from locigrid.session import cut_lineage
 
 VECTORS = "e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS f, CAST(label AS VARCHAR) AS label FROM embeddings)"
@@ -138,13 +138,13 @@ def discriminant_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("M17")
 def forest_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     binned, free = binned_and_free(spark, sf_dir)
-    return classify.random_forest(binned, free, trees=100, depth=8)
+    return classify.random_forest(binned, free)
 
 
 @query("M18")
 def rbf_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     binned, free = binned_and_free(spark, sf_dir)
-    return classify.rbf_machine(binned, free, size=128, rounds=10)
+    return classify.rbf_machine(binned, free)
 
 
 @query("M21 M16")
@@ -156,23 +156,33 @@ def neighbour_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("M21 M17")
 def forest_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cross-validated accuracy of three random forest settings."""
-    grid = {"numTrees": [20, 40], "maxDepth": [4, 6, 8], "impurity": ["gini", "entropy"]}
-    return classify.search_forest(embeddings(spark, sf_dir), grid, n=3, folds=3)
+    """Cross-validated accuracy of five random forest settings."""
+    grid = {"numTrees": [50, 100], "maxDepth": [10, 20, 30], "impurity": ["gini", "entropy"]}
+    return classify.search_forest(embeddings(spark, sf_dir), grid)
 
 
-@query("M01 M03 M04 M05 M06 M07 M09 M10 M12 M13 A08 A26 A27 J08")
+def letter_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of every letter in a document: contig = document, bin = language, motif = letter."""
+    docs = table(spark, sf_dir, "documents").filter("lang IS NOT NULL")
+    letter = F.explode(F.filter(F.split(F.regexp_replace(F.lower("text"), "[^a-z]", ""), ""), lambda x: x != ""))
+    counts = docs.select(text_of("doc_id").alias("contig"), F.col("lang").alias("bin"), letter.alias("motif"))
+    counts = counts.groupBy("contig", "bin", "motif").agg(F.count("*").alias("n"))
+    totals = counts.groupBy("contig").agg(F.sum("n").alias("length"))
+    return counts.join(totals, "contig").withColumn("x", F.col("n") / F.col("length"))
+
+
+@query("M01 M03 M04 M05 M06 M07 M08 M09 M10 M12 M13 A26 A27 R04")
 def contamination_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Votes of four clusterings on which contigs do not belong to their bin.
+    """Contigs that three or more of five clusterings place outside the home cluster of their bin.
 
-    Bins with a single contig are left out; nothing can be told there.
+    Every bin first receives one contig of another bin.
     """
-    rows = cells(spark, sf_dir)
-    pairs = rows.select("bin", "contig").distinct()
-    single = pairs.groupBy("bin").count().filter("count = 1")
-    rows = rows.join(single, "bin", "left_anti")
-    if rows.isEmpty():
-        return rows.select("contig", F.lit(0).cast("long").alias("sum_predictions"))
+    shares = cut_lineage(letter_shares(spark, sf_dir))
+    pairs = shares.select("contig", "bin").distinct()
+    mixed, _ = sampling.inject_foreign(pairs, pairs, 1)
+    mixed = mixed.select(F.col("contig").alias("name"), remove_first(F.col("contig"), "contamination_").alias("contig"), "bin")
+    rows = shares.drop("bin").join(mixed, "contig").drop("contig").withColumnRenamed("name", "contig")
+    sizes = cut_lineage(rows.select("contig", "length").distinct())
     index = cut_lineage(features.feature_index(rows, "motif"))
     vectors = features.impute_within(rows, "motif", "x", index)
     numbered = cut_lineage(ordered_index(vectors, ["contig"], "id"))
@@ -181,15 +191,15 @@ def contamination_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = {
         "kmeans": clustering.kmeans_labels(points, k),
         "gmm": clustering.gmm_labels(points, k),
+        "spectral": clustering.spectral_labels(points, k),
         "agg": clustering.ward_labels(points, k),
         "dscan": neighbours.density_labels(points, 3, 2),
     }
     results = shape.union_strict(*[df.withColumn("method", F.lit(m)) for m, df in labels.items()])
     results = cut_lineage(results.join(numbered.select("id", "contig", "bin"), "id").drop("id"))
-    sizes = lengths(spark, sf_dir)
     bins = agg.bin_sizes(numbered.select("contig", "bin"), sizes)
     homes = scoring.home_cluster(agg.cluster_sizes(results, sizes, bins))
-    return scoring.flag_foreign(results, homes, 0, at_least=True)
+    return scoring.flag_foreign(results, homes, 3, at_least=True)
 
 
 @query("M04 M05 M15 M16 M17 M18 M19 M28 U02")
@@ -201,9 +211,9 @@ def inclusion_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     train = cut_lineage(components.apply(scaler.apply(binned)))
     asked = cut_lineage(components.apply(scaler.apply(free)))
     votes = shape.union_strict(
-        classify.predict(classify.random_forest(train, asked, trees=50, depth=8), "rf"),
+        classify.predict(classify.random_forest(train, asked), "rf"),
         classify.predict(neighbours.knn_classify(train, asked, 3), "knn"),
-        classify.predict(classify.rbf_machine(train, asked, size=128, rounds=10), "svm"),
+        classify.predict(classify.rbf_machine(train, asked), "svm"),
         classify.predict(classify.LinearDiscriminant.fit(train).probabilities(asked), "lda"),
     )
     return scoring.confidence_tiers(cut_lineage(votes))

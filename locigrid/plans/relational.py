@@ -294,7 +294,7 @@ def value_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "J06 P06",
     f"""WITH {SCORED}, d AS (SELECT contig, motif, mod_type, count(*) AS n FROM scored
-          WHERE mean_read_cov > 7 GROUP BY 1, 2, 3),
+          WHERE mean_read_cov > 2 GROUP BY 1, 2, 3),
         g AS (SELECT * FROM (SELECT DISTINCT contig FROM scored), (SELECT DISTINCT motif FROM scored),
           (SELECT DISTINCT mod_type FROM scored))
         SELECT contig, motif, mod_type, coalesce(n, 0) AS n FROM g LEFT JOIN d USING (contig, motif, mod_type)""",
@@ -302,7 +302,7 @@ def value_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def densified_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All combinations of three dimensions, empty cells 0."""
     rows = scored(spark, sf_dir)
-    data = rows.filter("mean_read_cov > 7").groupBy("contig", "motif", "mod_type")
+    data = rows.filter("mean_read_cov > 2").groupBy("contig", "motif", "mod_type")
     dims = [rows.select(c) for c in ("contig", "motif", "mod_type")]
     return joins.densify(data.agg(F.count("*").alias("n")), dims, {"n": 0})
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from locigrid.operators.joins import join_null_safe
+from locigrid.session import written
 
 
 def read_fasta(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
@@ -39,6 +40,8 @@ def read_fastq(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("mid"),
     )
+    # written, so that counts and rows agree on the numbers
+    lines = written(lines, "lines")
     splits = lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("mid").alias("first"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     splits = splits.select(

@@ -8,6 +8,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from locigrid.operators.joins import join_null_safe
+from locigrid.session import sized
+
+
+# Rows of a file in a partitioned folder, about.
+FILE_ROWS = 1_000_000
+
+
+def dealt_to_files(df: DataFrame, partition_by: Sequence[str], rows: int = FILE_ROWS) -> DataFrame:
+    """``df`` dealt out so that a partition value is written by as many tasks as its rows need, not by all."""
+    per_value = df.groupBy(*partition_by).agg(F.ceil(F.count("*") / rows).alias("__files"))
+    joined = join_null_safe(df, sized(per_value), partition_by)
+    salt = F.pmod(F.xxhash64(*df.columns), F.col("__files"))
+    return joined.withColumn("__file", salt).repartition(*partition_by, "__file").select(*df.columns)
+
 
 def write_table(
     df: DataFrame,
@@ -18,6 +33,8 @@ def write_table(
     partition_by: Sequence[str] = (),
 ) -> None:
     """Delimited text. The default mode refuses to replace an existing target."""
+    if partition_by:
+        df = dealt_to_files(df, partition_by)
     writer = df.write.mode(mode).option("sep", sep).option("header", header)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -52,6 +69,8 @@ def write_fasta(
     df: DataFrame, path: str, header: str = "contig", partition_by: Sequence[str] = (), width: int = 60
 ) -> None:
     text = df.select(*partition_by, fasta_record(F.col(header), F.col("seq"), width).alias("value"))
+    if partition_by:
+        text = dealt_to_files(text, partition_by)
     writer = text.write.mode("errorifexists")
     (writer.partitionBy(*partition_by) if partition_by else writer).text(path)
 
