@@ -11,7 +11,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test table
 CATALOG = load_all()
 # Too small at this scale to return rows; checked on the next scale by tools/compare.py.
 MAY_BE_EMPTY = {
-    "two_level_counts", "foreign_contigs", "unique_mappings", "single_row_groups", "contamination_ensemble",
+    "two_level_counts", "foreign_contigs", "unique_mappings", "single_row_groups",
 }
 SLOW = {"inclusion_ensemble", "contamination_ensemble", "rbf_classes", "forest_search"}
 
@@ -33,6 +33,12 @@ def test_query_agrees(spark, con, name):
     assert found == []
 
 
+def test_ensemble_finds_the_injected_contigs(spark):
+    found = {r["contig"] for r in CATALOG["contamination_ensemble"].run(spark, SF_DIR).collect()}
+    injected = [c for c in found if c.startswith("contamination_")]
+    assert len(injected) >= 3 and len(found) <= 40
+
+
 PLANNED = [
     "value_grid", "densified_grid", "benchmark_heat_map", "holdout_replicates", "injected_replicates",
     "mean_depth_of_windows", "group_shares", "inclusion_benchmark", "imputed_within_bins",
