@@ -133,17 +133,17 @@ def spanning(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Least item each item is linked with, directly or by way of others."""
     label = np.arange(n)
     while len(left):
-        low = np.minimum(label[left], label[right])
-        np.minimum.at(label, left, low)
-        np.minimum.at(label, right, low)
-        label = label[label]
+        # labels are roots here: lowering a root takes its whole tree along, and a link inside one tree has done its part
+        a, b = label[left], label[right]
+        low = np.minimum(a, b)
+        np.minimum.at(label, a, low)
+        np.minimum.at(label, b, low)
+        above = label[label]
+        while (above != label).any():
+            label, above = above, above[above]
         differ = label[left] != label[right]
         left, right = left[differ], right[differ]
-    while True:
-        above = label[label]
-        if (above == label).all():
-            return label
-        label = above
+    return label
 
 
 def _links(keys: np.ndarray, codes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:

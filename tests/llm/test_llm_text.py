@@ -159,6 +159,27 @@ def test_tree_search_finds_all_pairs():
     assert set(zip(q.tolist(), n.tolist())) == {(i, j) for i in range(len(codes)) for j in range(i) if apart[i, j] <= 4}
 
 
+def test_spanning_keeps_what_a_dropped_link_joined():
+    left, right = np.array([2, 3, 3]), np.array([1, 2, 0])
+    assert simhash.spanning(4, left, right).tolist() == [0, 0, 0, 0]
+    # the same chain as fingerprints of one bucket, 1 - 2 - 3 - 0, four bits each step
+    codes = np.array([0xFFF, 0, 0xF, 0xFF], np.uint64)
+    a, b = simhash._links(np.zeros(4, np.int64), codes, 4)
+    assert set(a.tolist()) | set(b.tolist()) == set(codes.tolist()) and len(a) == 3
+
+
+def test_spanning_of_random_graphs():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        n = int(rng.integers(1, 60))
+        pairs = rng.integers(0, n, (int(rng.integers(0, 2 * n)), 2))
+        want = list(range(n))
+        for a, b in pairs.tolist():
+            low, high = sorted((want[a], want[b]))
+            want = [low if w == high else w for w in want]
+        assert simhash.spanning(n, pairs.max(axis=1, initial=0), pairs.min(axis=1, initial=n)).tolist() == want
+
+
 def test_components_of_a_chain_and_a_star(spark):
     chain = [(k, k + 1) for k in range(0, 40)]
     star = [(1000, 1001 + k) for k in range(200)] + [(5, 5)]
