@@ -1,3 +1,4 @@
+import inspect
 import itertools
 
 import numpy as np
@@ -5,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from locigrid.operators import classify, clustering, features, linkage, neighbours
+from locigrid.plans import learning
 
 
 def blobs(spark, n=180, d=5, classes=3, gap=8.0, seed=4):
@@ -165,3 +167,30 @@ def test_imputation(spark):
     assert got["c1"] == [1.0, 0.0, 0.0]
     raw = {r["contig"]: r["features"] for r in features.feature_vectors(df, ["contig"], "motif", "x", index).collect()}
     assert raw == {"c1": [1.0, None, None], "c2": [3.0, None, 5.0], "c3": [None, 7.0, None]}
+
+
+def test_registered_classifiers_use_the_numbers_of_the_method(spark, monkeypatch):
+    calls = []
+    for name in ("random_forest", "rbf_machine", "search_forest"):
+
+        def record(*args, name=name, signature=inspect.signature(getattr(classify, name)), **kwargs):
+            bound = signature.bind(*args, **kwargs)
+            bound.apply_defaults()
+            calls.append((name, bound.arguments))
+
+        monkeypatch.setattr(classify, name, record)
+    monkeypatch.setattr(classify, "predict", lambda probabilities, method: None)
+    monkeypatch.setattr(neighbours, "knn_classify", lambda *args: None)
+    monkeypatch.setattr(learning.shape, "union_strict", lambda *votes: None)
+    monkeypatch.setattr(learning.scoring, "confidence_tiers", lambda votes: votes)
+    monkeypatch.setattr(learning, "cut_lineage", lambda df: df)
+    for query in (learning.forest_classes, learning.rbf_classes, learning.forest_search, learning.inclusion_ensemble):
+        query(spark, "/root/testdata/sf0.001")
+    assert sorted(n for n, _ in calls) == ["random_forest"] * 2 + ["rbf_machine"] * 2 + ["search_forest"]
+    for name, a in calls:
+        if name == "random_forest":
+            assert (a["trees"], a["depth"]) == (100, 30)
+        elif name == "rbf_machine":
+            assert (a["size"], a["rounds"]) == (256, 30)
+        else:
+            assert (a["n"], a["folds"]) == (5, 5) and min(a["grid"]["numTrees"]) == 100 and max(a["grid"]["maxDepth"]) == 30
