@@ -58,6 +58,18 @@ def test_quality_ranks_held_out_documents(spark):
     assert np.mean([r.predicted == r.quality for r in rows]) > 0.95
 
 
+def test_repeated_documents_are_learned_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality_classifier, "fit_pairs", lambda better, worse, share: seen.append((better, worse)))
+    rows = [(1, f"word {k} of many words") for k in range(200)] + [(2, "another"), (2, "another"), (3, "third text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, quality int")
+    for parts in (1, 5):
+        quality_classifier.fit(docs.repartition(parts), marks, F.lit(False))
+    assert [(len(b), len(w)) for b, w in seen] == [(1, 2), (1, 2)]
+    assert np.array_equal(seen[0][0], seen[1][0]) and np.array_equal(seen[0][1], seen[1][1])
+
+
 def test_features_do_not_depend_on_chunks(monkeypatch):
     texts = pa.array([t for _, t, *_ in ROWS])
     whole = quality_classifier.text_features(texts)
