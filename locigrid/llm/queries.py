@@ -7,7 +7,7 @@ from collections.abc import Callable
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from locigrid.llm import collocations, language, lexical_search, mixing, packing, quality_classifier, quality_rules, secrets, simhash, token_files, topk, warc
+from locigrid.llm import anchors, collocations, language, lexical_search, mixing, packing, quality_classifier, quality_rules, secrets, simhash, token_files, topk, warc
 from locigrid.llm.common import read
 from locigrid.session import work_path
 
@@ -57,6 +57,10 @@ def op10_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op11_anchor_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anchors.without_repeats(read(spark, sf_dir, "documents")).drop("repeats")
+
+
 def op12_rollup_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(read(spark, sf_dir, "documents"))
 
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_seekable_tokens,
         op9_pareto_mix,
         op10_histogram_packing,
+        op11_anchor_repeats,
         op12_rollup_collocations,
         op13_interval_search,
     )
@@ -95,6 +100,7 @@ ORACLES: dict[str, str] = {
     "op6_content_archive": warc.SQL,
     "op7_adaptive_rules": quality_rules.SQL,
     "op9_pareto_mix": mixing.SQL,
+    "op11_anchor_repeats": anchors.SQL,
     "op12_rollup_collocations": collocations.SQL,
     "op13_interval_search": lexical_search.SQL,
 }
