@@ -11,6 +11,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from locigrid.operators.clustering import kmeans_by_key
 from locigrid.operators.joins import join_null_safe
 from locigrid.operators.linkage import TAIL, average_cost, followed, merge_tree
 from locigrid.operators.scans import ordered_index
@@ -151,6 +152,30 @@ def evidence_sweep(df: DataFrame, limits: Sequence[float], min_cov: float = 0.0)
     return passed.withColumn("limit", levels).filter(weight >= F.col("limit"))
 
 
+def clustered_per_limit(swept: DataFrame, feature: str, value: str, k: int, single: bool = False) -> DataFrame:
+    """limit, bin, contig and cluster: rows of each limit imputed within their bins and clustered.
+
+    ``swept`` has limit, bin, contig, feature and value. Bins left with one
+    contig at a limit are not clustered there, unless ``single``. Limits are keys
+    of one job, so a cell of one limit never fills a gap of another.
+    """
+    cells = swept.groupBy("limit", "bin", "contig", feature).agg(F.avg(value).alias("x"))
+    if not single:
+        alone = cells.groupBy("limit", "bin").agg(F.count_distinct("contig").alias("n")).filter("n > 1").drop("n")
+        cells = cells.join(sized(alone), ["limit", "bin"])
+    key = lambda name: F.to_json(F.struct("limit", name))
+    cells = cut_lineage(cells.select(key("contig").alias("contig"), key("bin").alias("bin"), feature, "x"))
+    index = cut_lineage(feature_index(cells, feature))
+    vectors = cut_lineage(impute_within(cells, feature, "x", index))
+    limit = F.get_json_object("contig", "$.limit")
+    points = vectors.select(limit.alias("key"), F.col("contig").alias("id"), "features")
+    labels = kmeans_by_key(points, k).select(F.col("id").alias("contig"), "cluster")
+    named = vectors.join(labels, "contig")
+    return named.select(
+        limit.cast("double").alias("limit"), F.get_json_object("bin", "$.bin").alias("bin"), F.get_json_object("contig", "$.contig").alias("contig"), "cluster"
+    )
+
+
 def leaf_order(vectors: DataFrame, group: Sequence[str], row: str, tail: int = TAIL) -> DataFrame:
     """Axis order of the rows of each group: ``leaf`` then key.
 

@@ -16,6 +16,7 @@ from locigrid.operators.joins import anti
 from locigrid.operators.scans import (
     OrderedScan,
     hash_bucket,
+    hash_digits,
     hash_fraction,
     seeded_hash,
     take_until,
@@ -37,7 +38,7 @@ def sample_n(
     size = F.lit(n) if isinstance(n, int) else n
     hashed = df.withColumn("__h", seeded_hash(seed, F.col(key)))
     kept = take_until(
-        hashed, list(group), ["__h", key], F.lit(1), size, hash_bucket(F.col("__h"))
+        hashed, list(group), ["__h", key], F.lit(1), size, hash_digits(F.col("__h"))
     )
     return kept.drop("__h")
 
@@ -165,7 +166,7 @@ def downsample_to_coverage(
     tagged = reads.join(targets, group).withColumn("__h", seeded_hash(seed, F.col("read_id")))
     kept = take_until(
         tagged, [group], ["__h", "read_id"], F.col("length"), F.col("bases_required"),
-        hash_bucket(F.col("__h")),
+        hash_digits(F.col("__h")),
     )
     return kept.select(*reads.columns)
 

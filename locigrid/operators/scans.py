@@ -204,49 +204,91 @@ def hash_bucket(hash_col: Column) -> Column:
     return F.substring(hash_col, 1, 3)
 
 
+def hash_digits(hash_col: Column, step: int = 3) -> Callable[[int], Column]:
+    """Buckets of a hash, finer with every level; as many digits more as ``step`` says."""
+    return lambda level: F.substring(hash_col, 1, step * level)
+
+
 def hash_fraction(hash_col: Column) -> Column:
     """The hash as a number in [0, 1)."""
     return F.conv(F.substring(hash_col, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
+# Rows of the bucket in which a budget ends that are put in order by one task, and how often a bucket is made finer.
+CUT_ROWS = 200_000
+LEVELS = 10
+
+
+def _cuts(rows: DataFrame) -> DataFrame:
+    """Per group the bucket in which the budget ends, null if none, and what was spent before it."""
+    totals = rows.groupBy(*KEYS).agg(F.sum("__value").alias("__total"), F.max("__budget").alias("__limit"), F.max("__base").alias("__spent"))
+    upto = F.sum("__total").over(
+        Window.partitionBy(GROUP).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    totals = totals.withColumn("__upto", F.col("__spent") + upto)
+    full = F.when(F.col("__upto") >= F.col("__limit"), F.struct(BUCKET, (F.col("__upto") - F.col("__total")).cast("double").alias("before")))
+    cuts = totals.groupBy(GROUP).agg(F.min(full).alias("__c"))
+    return cuts.select(GROUP, F.col("__c")[BUCKET].alias("__cut"), F.col("__c.before").alias("__before"))
+
+
 def take_until(
     df: DataFrame,
     group: Sequence[str],
     order: Sequence[str | Column],
     value: Column,
     budget: Column,
-    bucket: Column,
+    bucket: Column | Callable[[int], Column],
 ) -> DataFrame:
     """Smallest prefix of each group, in order, whose sum of ``value`` reaches
     ``budget`` (a column that is constant in the group); all rows if it never does.
 
     Bucket totals name, per group, the bucket in which the budget runs out. Rows
-    before it are kept as they are, and only that bucket is put in order.
+    before it are kept as they are. If more rows than a task may sort are in it,
+    only that bucket is cut again by the next level of ``bucket``, and so on; what
+    is left is put in order. ``bucket`` is a column, or a function of the level.
     """
-    placed = df.withColumns(
+    at = bucket if callable(bucket) else lambda level: bucket
+    most = LEVELS if callable(bucket) else 1
+    inside = df.withColumns(
         {
-            BUCKET: bucket,
             GROUP: F.struct(*group) if group else F.struct(F.lit(0)),
             "__value": value,
             "__budget": budget,
+            "__base": F.lit(0.0),
         }
     )
-    totals = placed.groupBy(*KEYS).agg(F.sum("__value").alias("__total"), F.max("__budget").alias("__limit"))
-    upto = F.sum("__total").over(
-        Window.partitionBy(GROUP).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    totals = totals.withColumn("__upto", upto)
-    full = F.when(F.col("__upto") >= F.col("__limit"), F.struct(BUCKET, F.col("__upto") - F.col("__total")))
-    cuts = totals.groupBy(GROUP).agg(F.min(full).alias("__c"))
-    cuts = cuts.select(GROUP, F.col("__c")[BUCKET].alias("__cut"), F.col("__c.col2").alias("__base"))
-    marked = placed.join(sized(cuts), GROUP)
-    kept = marked.filter(F.col("__cut").isNull() | (F.col(BUCKET) < F.col("__cut")))
+    kept, level = [], 1
+    while True:
+        placed = inside.withColumn(BUCKET, at(level))
+        marked = placed.join(sized(_cuts(placed)), GROUP)
+        kept.append(marked.filter(F.col("__cut").isNull() | (F.col(BUCKET) < F.col("__cut"))).select(*df.columns))
+        last = marked.filter(F.col(BUCKET) == F.col("__cut")).withColumn("__base", F.col("__before"))
+        last = last.select(*df.columns, GROUP, "__value", "__budget", "__base")
+        if level == most:
+            kept.append(_sorted_cut(last, order).select(*df.columns))
+            break
+        last = cut_lineage(last)
+        sizes = last.groupBy(GROUP).agg((F.count("*") > CUT_ROWS).alias("__large"))
+        if sizes.filter("__large").isEmpty():
+            kept.append(_sorted_cut(last, order).select(*df.columns))
+            break
+        dealt = last.join(sized(sizes), GROUP)
+        kept.append(_sorted_cut(dealt.filter(~F.col("__large")), order).select(*df.columns))
+        inside = dealt.filter("__large").drop("__large")
+        level += 1
+    out = kept[0]
+    for part in kept[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _sorted_cut(rows: DataFrame, order: Sequence[str | Column]) -> DataFrame:
+    """Rows of one bucket per group up to the one that reaches the budget."""
     before = F.sum("__value").over(
         Window.partitionBy(GROUP).orderBy(*_cols(order)).rowsBetween(Window.unboundedPreceding, -1)
     )
-    last = marked.filter(F.col(BUCKET) == F.col("__cut")).withColumn("__before", before)
-    last = last.filter(F.col("__base") + F.coalesce("__before", F.lit(0)) < F.col("__budget"))
-    return kept.select(*df.columns).unionByName(last.select(*df.columns))
+    placed = rows.withColumn("__spent", before)
+    return placed.filter(F.col("__base") + F.coalesce("__spent", F.lit(0)) < F.col("__budget"))
 
 
 def fill_down(

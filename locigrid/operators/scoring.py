@@ -242,3 +242,15 @@ def stack_grid(methylation: DataFrame, metrics: DataFrame) -> DataFrame:
     left = methylation.withColumn("group", F.lit("methylation"))
     right = metrics.withColumn("group", F.lit("metric"))
     return union_loose(left, right)
+
+
+def home_shares(labels: DataFrame) -> DataFrame:
+    """``labels`` (limit, bin, contig, cluster) with the home cluster of the bin and the share of its contigs there.
+
+    The home cluster holds most contigs of a bin; of equal ones the first.
+    """
+    sizes = labels.groupBy("limit", "bin", "cluster").agg(F.count("*").alias("n"))
+    most = F.min(F.struct((-F.col("n")).alias("less"), "cluster")).alias("best")
+    homes = sizes.groupBy("limit", "bin").agg(most, F.sum("n").alias("all"))
+    homes = homes.select("limit", "bin", F.col("best.cluster").alias("home"), (-F.col("best.less") / F.col("all")).alias("home_share"))
+    return labels.join(homes, ["limit", "bin"]).select("limit", "bin", "contig", "cluster", "home", "home_share")

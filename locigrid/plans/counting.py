@@ -456,6 +456,17 @@ def evidence_limit_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("M26 M01 M06 M12")
+def clusters_per_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contigs clustered anew for every evidence limit, with the cluster and the home share of their bin.
+
+    One row per limit and contig. ``home_share`` is the part of the bin's contigs
+    that lie in its home cluster, the one that holds most of them.
+    """
+    swept = features.evidence_sweep(scored(spark, sf_dir), [17, 24, 40], 3).join(contig_bin(spark, sf_dir), "contig")
+    return scoring.home_shares(features.clustered_per_limit(swept, "motif", "median", 10))
+
+
 CELLS = f"""cells AS (SELECT contig, bin, motif, avg(median) AS x FROM scored JOIN contig_bin USING (contig)
   WHERE mean_read_cov >= 3 AND n_motif_obs * mean_read_cov >= 17 GROUP BY 1, 2, 3)"""
 

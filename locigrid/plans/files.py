@@ -259,12 +259,12 @@ def bins_from_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "S08 Q06",
-    f"""WITH {SEQUENCES} SELECT contig AS read_id, 'MM:Z:C' || chr(9) || 'ML:B:1' AS tags, seq, translate(seq, 'ACGT', '@I5~') AS qual FROM seqs WHERE seq <> ''""",
+    f"""WITH {SEQUENCES} SELECT contig AS read_id, 'MM:Z:C' || chr(9) || 'ML:B:1' AS tags, coalesce(seq, '') AS seq, translate(coalesce(seq, ''), 'ACGT', '@I5~') AS qual FROM seqs""",
 )
 def fastq_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four-line records whose quality lines may start with the record mark."""
+    """Four-line records, empty ones too, whose quality lines may start with the record mark."""
     path = work_path(spark, "fastq")
-    rows = sequences(spark, sf_dir).filter("seq <> ''").select(
+    rows = sequences(spark, sf_dir).select(
         F.col("contig").alias("read_id"),
         F.lit("MM:Z:C\tML:B:1").alias("tags"),
         "seq",

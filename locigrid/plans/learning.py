@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from locigrid.functions.text import remove_first
 from locigrid.operators import aggregate as agg
-from locigrid.operators import classify, clustering, features, neighbours, sampling, scoring, shape
+from locigrid.operators import classify, clustering, features, hierarchy, neighbours, sampling, scoring, shape
 from locigrid.operators.scans import ordered_index
 from locigrid.plans.catalog import query
 from locigrid.plans.standins import embeddings, hash_share, hash_share_sql, r6, table, text_of
@@ -96,6 +96,34 @@ def density_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.density_labels(rows, min_samples=5, min_cluster_size=3, cut=EPS)
 
 
+@query("M10")
+def hierarchy_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Density clusters chosen from the hierarchy, without a distance given."""
+    return hierarchy.hierarchy_labels(embeddings(spark, sf_dir).select("id", "features"), 5, 5)
+
+
+LEVELS = [0.9, 1.0, 1.1, 1.2, 1.3]
+
+
+@query(
+    "M10",
+    f"""WITH RECURSIVE {VECTORS}, d AS (SELECT a.id, b.id AS other, list_distance(a.f, b.f) AS d FROM e a, e b),
+      core AS (SELECT id, d AS core FROM (SELECT id, d, row_number() OVER (PARTITION BY id ORDER BY d) AS n FROM d) WHERE n = 6),
+      m AS (SELECT d.id, d.other, greatest(d.d, x.core, y.core) AS h FROM d JOIN core x USING (id) JOIN core y ON y.id = d.other WHERE d.id <> d.other),
+      l(level) AS (SELECT unnest({LEVELS})::DOUBLE), reach(level, id, root) AS (SELECT level, id, id FROM l, e UNION SELECT r.level, m.other, r.root FROM reach r JOIN m ON m.id = r.id AND m.h <= r.level),
+      low AS (SELECT level, id, min(root) AS root FROM reach GROUP BY 1, 2)
+      SELECT level, count(DISTINCT root) AS groups FROM low GROUP BY 1""",
+)
+def density_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Into how many groups mutual reachability parts the rows at several heights, read off the spanning tree."""
+    points = embeddings(spark, sf_dir).select("id", "features")
+    _, leaves, seen = hierarchy.density_leaves(points, 5)
+    tree = hierarchy.spanning_tree(leaves, seen)
+    heights = tree.withColumn("level", F.explode(F.lit(LEVELS)))
+    joined = heights.groupBy("level").agg(F.count_if(F.col("height") <= F.col("level")).alias("edges"), F.count("*").alias("all"))
+    return joined.select("level", (F.col("all") + 1 - F.col("edges")).alias("groups"))
+
+
 def _reduced(rows: DataFrame, share: float = 0.90) -> DataFrame:
     scaled = features.Standardiser.fit(rows).apply(rows)
     return features.Components.fit(scaled, share).apply(scaled)
@@ -154,18 +182,79 @@ def neighbour_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify.search_knn(embeddings(spark, sf_dir), grid)
 
 
+# The method's lists of settings.
+FOREST_GRID = {
+    "trees": [100, 200, 300, 400],
+    "criterion": ["gini", "entropy"],
+    "depth": [10, 20, 30, 40, 50, 60, 70, 80, 90, 100, None],
+    "split": [2, 5, 10],
+    "leaf": [1, 2, 4],
+    "features": ["sqrt", "log2", "all"],
+}
+DISCRIMINANT_GRID = {"solver": ["svd", "lsqr", "eigen"], "n_components": [2, 3, 4, 5]}
+
+
 @query("M21 M17")
 def forest_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cross-validated accuracy of five random forest settings."""
-    # 30 is the deepest a forest can be here; the method also lists deeper ones and no limit
-    grid = {
-        "numTrees": [100, 200, 300, 400],
-        "maxDepth": [10, 20, 30],
-        "impurity": ["gini", "entropy"],
-        "minInstancesPerNode": [1, 2, 4],
-        "featureSubsetStrategy": ["sqrt", "log2", "all"],
-    }
-    return classify.search_forest(embeddings(spark, sf_dir), grid)
+    return classify.search_forest(embeddings(spark, sf_dir), FOREST_GRID)
+
+
+def plane(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors cut to their first two numbers, for which the discriminant has a closed form."""
+    return embeddings(spark, sf_dir).withColumn("features", F.slice("features", 1, 2))
+
+
+def _plane_sql(rows: str, part: str, divisor: str) -> str:
+    """Weights and offset of every class by ``part``; the pooled scatter is a matrix of two by two."""
+    return f"""k AS (SELECT {part}, label, count(*)::DOUBLE AS n, avg(a) AS ma, avg(b) AS mb FROM {rows} GROUP BY ALL),
+      s AS (SELECT {part}, sum((a - ma) ** 2) AS saa, sum((a - ma) * (b - mb)) AS sab, sum((b - mb) ** 2) AS sbb, count(*)::DOUBLE AS n, count(DISTINCT label) AS c FROM {rows} JOIN k USING ({part}, label) GROUP BY ALL),
+      i AS (SELECT {part}, n AS total, ({divisor}) * sbb / (saa * sbb - sab ** 2) AS iaa, -({divisor}) * sab / (saa * sbb - sab ** 2) AS iab, ({divisor}) * saa / (saa * sbb - sab ** 2) AS ibb FROM s),
+      w AS (SELECT {part}, label, ma * iaa + mb * iab AS wa, ma * iab + mb * ibb AS wb, -0.5 * (ma ** 2 * iaa + 2 * ma * mb * iab + mb ** 2 * ibb) + ln(k.n / total) AS w0 FROM k JOIN i USING ({part}))"""
+
+
+PLANE = "p AS (SELECT vec_id AS id, CAST(label AS VARCHAR) AS label, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b FROM embeddings)"
+
+
+@query(
+    "M15",
+    f"""WITH {PLANE}, t AS (SELECT 0 AS g, * FROM p WHERE NOT {FREE}), {_plane_sql("t", "g", "n - c")},
+          z AS (SELECT id, w.label AS class, exp(a * wa + b * wb + w0) AS e FROM (SELECT * FROM p WHERE {FREE}) q, w)
+        SELECT id, class, round(e / sum(e) OVER (PARTITION BY id), 6) AS prob FROM z""",
+)
+def discriminant_in_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class probabilities by the first two numbers of the vectors."""
+    rows = plane(spark, sf_dir)
+    free = hash_share("free", "id") < FREE_SHARE
+    model = classify.LinearDiscriminant.fit(rows.filter(~free))
+    return model.probabilities(rows.filter(free)).withColumn("prob", r6(F.col("prob")))
+
+
+def _search_sql() -> str:
+    """Accuracy of the drawn settings: refitted for every fold, which the one pass must equal."""
+    fold = "CAST(CAST('0x' || substr(md5('42|fold|' || id), 1, 8) AS BIGINT) % 5 AS INTEGER)"
+    settings = classify.pick_settings(DISCRIMINANT_GRID, 5, 42)
+    parts = [f"""WITH {PLANE}, r AS (SELECT *, {fold} AS fold FROM p), t AS (SELECT g, r.* FROM r, range(5) AS x(g) WHERE fold <> g)"""]
+    both = {"svd": "n - c", "biased": "n"}
+    for kind, divisor in both.items():
+        inner = _plane_sql("t", "g", divisor).replace("k AS (", f"k_{kind} AS (", 1)
+        for name in ("s", "i", "w"):
+            inner = inner.replace(f" {name} AS (SELECT", f" {name}_{kind} AS (SELECT")
+        inner = inner.replace("JOIN k USING", f"JOIN k_{kind} AS k USING").replace("FROM s)", f"FROM s_{kind})").replace("FROM k JOIN i", f"FROM k_{kind} AS k JOIN i_{kind} AS i")
+        parts.append(f""", {inner}, hit_{kind} AS (SELECT fold, avg(CAST(label = pred AS DOUBLE)) AS accuracy FROM (SELECT r.id, r.fold, r.label,
+            max_by(w.label, r.a * wa + r.b * wb + w0) AS pred FROM r JOIN w_{kind} AS w ON w.g = r.fold GROUP BY ALL) GROUP BY fold)""")
+    rows = [
+        f"SELECT '{', '.join(f'{k}={v}' for k, v in sorted(s.items()))}' AS setting, round(avg(accuracy), 6) AS accuracy FROM hit_{'svd' if s['solver'] == 'svd' else 'biased'}"
+        for s in settings
+    ]
+    return "".join(parts) + " " + " UNION ALL ".join(rows)
+
+
+@query("M21 M15", _search_sql())
+def discriminant_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-validated accuracy of five random discriminant settings, on the first two numbers of the vectors."""
+    found = classify.search_discriminant(plane(spark, sf_dir), DISCRIMINANT_GRID)
+    return found.withColumn("accuracy", r6(F.col("accuracy")))
 
 
 def letter_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,7 +289,7 @@ def contamination_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
         "gmm": clustering.gmm_labels(points, k),
         "spectral": clustering.spectral_labels(points, k),
         "agg": clustering.ward_labels(points, k),
-        "dscan": neighbours.density_labels(points, 3, 2),
+        "dscan": hierarchy.hierarchy_labels(points, 3, 2),
     }
     results = shape.union_strict(*[df.withColumn("method", F.lit(m)) for m, df in labels.items()])
     results = cut_lineage(results.join(numbered.select("id", "contig", "bin"), "id").drop("id"))

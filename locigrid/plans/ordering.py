@@ -102,7 +102,7 @@ def rows_up_to_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
     rows = rows.withColumn("h", scans.seeded_hash(5, F.col("doc_id")))
     kept = scans.take_until(
-        rows, ["source"], ["h", "doc_id"], F.col("n_chars"), F.lit(30_000), scans.hash_bucket(F.col("h"))
+        rows, ["source"], ["h", "doc_id"], F.col("n_chars"), F.lit(30_000), scans.hash_digits(F.col("h"))
     )
     return kept.drop("h")
 

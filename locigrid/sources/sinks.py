@@ -77,7 +77,8 @@ def write_fasta(
 
 def fastq_record(read_id: Column, tags: Column, seq: Column, qual: Column) -> Column:
     head = F.concat(F.lit("@"), read_id, F.when(F.length(tags) > 0, F.concat(F.lit("\t"), tags)).otherwise(""))
-    return F.concat_ws("\n", head, seq, F.lit("+"), qual)
+    # a read without bases keeps its four lines
+    return F.concat_ws("\n", head, F.coalesce(seq, F.lit("")), F.lit("+"), F.coalesce(qual, F.lit("")))
 
 
 def write_fastq(df: DataFrame, path: str) -> None:

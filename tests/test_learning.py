@@ -30,7 +30,7 @@ CLUSTERINGS = {
     "kmeans": lambda df: clustering.kmeans_labels(df, 3),
     "gmm": lambda df: clustering.gmm_labels(df, 3),
     "agg": lambda df: clustering.ward_labels(df, 3),
-    "agg in two stages": lambda df: clustering.ward_labels(df, 3, micro=20),
+    "agg in two stages": lambda df: clustering.ward_labels(df, 3, tail=20),
     "dscan": lambda df: neighbours.density_labels(df, 3, 2),
     "spectral": lambda df: clustering.spectral_labels(df, 3),
 }
@@ -133,7 +133,7 @@ def test_searches(spark):
     frame, _, _ = blobs(spark)
     knn = classify.search_knn(frame, {"k": [1, 3], "weights": ["uniform", "distance"]}, n=3, folds=3)
     assert knn.count() == 3 and knn.agg(F.min("accuracy")).first()[0] > 0.95
-    forest = classify.search_forest(frame, {"numTrees": [5, 10], "maxDepth": [3]}, n=2, folds=2)
+    forest = classify.search_forest(frame, {"trees": [5, 10], "depth": [3]}, n=2, folds=2)
     assert forest.count() == 2 and forest.agg(F.min("accuracy")).first()[0] > 0.9
 
 
@@ -189,8 +189,58 @@ def test_registered_classifiers_use_the_numbers_of_the_method(spark, monkeypatch
     assert sorted(n for n, _ in calls) == ["random_forest"] * 2 + ["rbf_machine"] * 2 + ["search_forest"]
     for name, a in calls:
         if name == "random_forest":
-            assert (a["trees"], a["depth"]) == (100, 30)
+            assert (a["trees"], a["depth"]) == (100, None)
         elif name == "rbf_machine":
             assert (a["size"], a["rounds"]) == (256, 30)
         else:
-            assert (a["n"], a["folds"]) == (5, 5) and min(a["grid"]["numTrees"]) == 100 and max(a["grid"]["maxDepth"]) == 30
+            assert (a["n"], a["folds"]) == (5, 5) and a["grid"] == learning.FOREST_GRID
+
+
+def plain_kmeans(ids, x, k, rounds=30):
+    """Lloyd's rounds from the vectors whose ids hash least."""
+    import hashlib
+
+    digest = [hashlib.md5(f"42|{i}".encode()).hexdigest() for i in ids]
+    firsts, seen = [], set()
+    for j in sorted(range(len(ids)), key=lambda j: digest[j]):
+        if tuple(x[j]) not in seen and len(firsts) < k:
+            seen.add(tuple(x[j]))
+            firsts.append(x[j])
+    centres = np.array(firsts)
+    for _ in range(rounds):
+        at = ((x[:, None] - centres[None]) ** 2).sum(-1).argmin(1)
+        centres = np.array([x[at == c].mean(0) if (at == c).any() else centres[c] for c in range(len(centres))])
+    return ((x[:, None] - centres[None]) ** 2).sum(-1).argmin(1)
+
+
+@pytest.mark.parametrize("room", [4_000_000, 10])
+def test_keys_are_clustered_as_if_alone(spark, monkeypatch, room):
+    monkeypatch.setattr(clustering, "CENTRES", room)
+    rng = np.random.default_rng(6)
+    rows, wanted = [], {}
+    for key, n in (("a", 40), ("b", 25), ("c", 2)):
+        x = rng.normal(size=(n, 3)).round(3)
+        x[n // 2] = x[0]
+        ids = [f"{key}{i}" for i in range(n)]
+        rows += [(key, i, v.tolist()) for i, v in zip(ids, x)]
+        wanted |= dict(zip(ids, plain_kmeans(ids, x, 4).tolist()))
+    got = clustering.kmeans_by_key(spark.createDataFrame(rows, "key string, id string, features array<double>"), 4)
+    assert {r["id"]: r["cluster"] for r in got.collect()} == wanted
+
+
+def test_a_sweep_equals_a_run_per_limit(spark):
+    from locigrid.operators import scoring
+
+    rng = np.random.default_rng(1)
+    rows = [(float(limit), f"b{c % 5}", f"c{c}", f"m{m}", float(rng.normal())) for limit in (1, 2) for c in range(30) for m in range(6) if rng.random() < 0.9 / limit]
+    rows.append((1.0, "alone", "c99", "m1", 0.5))
+    swept = spark.createDataFrame(rows, "limit double, bin string, contig string, motif string, x double")
+    key = lambda df: sorted(map(tuple, df.collect()))
+    both = key(features.clustered_per_limit(swept, "motif", "x", 4))
+    single = [key(features.clustered_per_limit(swept.filter(F.col("limit") == limit), "motif", "x", 4)) for limit in (1, 2)]
+    assert both == sorted(single[0] + single[1]) and "alone" not in {r[1] for r in both}
+    shares = scoring.home_shares(features.clustered_per_limit(swept, "motif", "x", 4)).collect()
+    for r in shares:
+        mine = [c for limit, b, _, c in both if (limit, b) == (r["limit"], r["bin"])]
+        home = min(set(mine), key=lambda c: (-mine.count(c), c))
+        assert (r["home"], r["home_share"]) == (home, pytest.approx(mine.count(home) / len(mine)))

@@ -55,10 +55,13 @@ def test_global_and_group_rank(spark):
         assert [(r["v"], r["id"]) for r in group] == sorted((r["v"], r["id"]) for r in group)
 
 
+@pytest.mark.parametrize("levels", [False, True])
 @pytest.mark.parametrize("budget", [0, 1, 100, 10_000_000])
-def test_take_until_is_the_smallest_prefix(spark, budget):
+def test_take_until_is_the_smallest_prefix(spark, budget, levels, monkeypatch):
+    monkeypatch.setattr(scans, "CUT_ROWS", 4)
     df = numbers(spark).withColumn("h", scans.seeded_hash(9, F.col("id")))
-    kept = scans.take_until(df, ["g"], ["h", "id"], F.col("v"), F.lit(budget), scans.hash_bucket(F.col("h")))
+    bucket = scans.hash_digits(F.col("h"), 1) if levels else scans.hash_bucket(F.col("h"))
+    kept = scans.take_until(df, ["g"], ["h", "id"], F.col("v"), F.lit(budget), bucket)
     kept = {g: {r["id"] for r in rows} for g, rows in by_group(kept).items()}
     for g, rows in by_group(df).items():
         wanted, total = set(), 0
@@ -115,3 +118,17 @@ def test_first_and_nth_rows(spark, rows):
     df = spark.createDataFrame([("a", 2, "x"), ("a", 1, "y"), ("b", 5, "z")], "g string, o int, v string")
     assert rows(scans.first_per_group(df, ["g"], ["o"])) == [("a", 1, "y"), ("b", 5, "z")]
     assert rows(scans.nth_row(df, ["g"], ["o"], 2)) == [("a", 2, "x")]
+
+
+def test_a_budget_in_one_large_group_sorts_few_rows(spark, monkeypatch):
+    monkeypatch.setattr(scans, "CUT_ROWS", 50)
+    sorted_rows = []
+    plain = scans._sorted_cut
+    monkeypatch.setattr(scans, "_sorted_cut", lambda rows, order: sorted_rows.append(rows.count()) or plain(rows, order))
+    df = spark.range(60_000).withColumn("h", scans.seeded_hash(1, F.col("id")))
+    # one digit a level: the first bucket that is cut holds a sixteenth of the rows
+    kept = scans.take_until(df, [], ["h", "id"], F.lit(1), F.lit(31_234), scans.hash_digits(F.col("h"), 1))
+    assert kept.count() == 31_234
+    assert len(sorted_rows) == 4 and sum(sorted_rows) <= 50
+    last = df.orderBy("h").limit(31_234).agg(F.max("h")).first()[0]
+    assert kept.agg(F.max("h")).first()[0] == last
