@@ -25,8 +25,8 @@ from locigrid.llm.common import key_crc, share_of
 SAMPLE_PER_CLASS = 20_000
 # Partners each rejected document of the sample is compared with.
 PAIRS_PER_ROW = 4
-# Bytes of text worked on at a time.
-CHUNK = 1 << 21
+# Bytes of text worked on at a time; each takes about forty bytes of memory.
+CHUNK = 1 << 20
 # The accepted side of the cut has scores from here on.
 ACCEPT = 0.3
 
@@ -44,8 +44,16 @@ def _sums(flags: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
-def _features(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """One row of features per text; ``bounds`` are the byte offsets of the texts."""
+# What is counted of a text: kinds of bytes, two marks, words, their bytes, words that pass a test, lines.
+_COUNTS = 19
+
+
+def _counts(data: np.ndarray, bounds: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of each text, a row each; ``bounds`` are the byte offsets of the texts.
+
+    The first text may go on from an earlier span, whose last words have the codes
+    ``before``. Returns the codes of the last two words of the last text as well.
+    """
     n = len(bounds) - 1
     kind = _KIND[data]
     solid = kind != _SPACE
@@ -56,45 +64,80 @@ def _features(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     starts = np.flatnonzero(first)
     per_text = _sums(first, bounds)
     of_word = np.concatenate(([0], np.cumsum(per_text)))
-    chars = _sums(solid, bounds)
-    out = np.zeros((n, FEATURES))
-    some = np.maximum(chars, 1)
+    out = np.zeros((n, _COUNTS), np.int64)
     for k, what in enumerate((_LOWER, _UPPER, _DIGIT, _SYMBOL, _MARK, _WIDE)):
-        out[:, k] = _sums(kind == what, bounds) / some
-    out[:, 6] = _sums(data == 33, bounds) / some
-    out[:, 7] = _sums(data == 124, bounds) / some
-    if len(starts):
-        edges = np.append(starts, len(data))
-        length = np.add.reduceat(solid, starts, dtype=np.int64)
-        counted = {w: np.add.reduceat(kind == w, starts, dtype=np.int64) for w in (_LOWER, _UPPER, _SYMBOL, _DIGIT, _WIDE)}
-        place = np.arange(len(data)) - np.repeat(starts, np.diff(edges)) if starts[0] == 0 else None
-        if place is None:
-            place = np.zeros(len(data), np.int64)
-            place[starts[0]:] = np.arange(len(data) - starts[0]) - np.repeat(starts - starts[0], np.diff(edges))
-        power = np.cumprod(np.full(64, 0x9E3779B97F4A7C15, np.uint64), dtype=np.uint64)
-        code = np.add.reduceat((data.astype(np.uint64) + np.uint64(1)) * power[place & 63] * solid, starts) + length.astype(np.uint64)
-        text_of = np.repeat(np.arange(n), per_text)
-        again = [np.zeros(len(starts), bool) for _ in range(2)]
-        for back, flags in enumerate(again, start=1):
-            flags[back:] = (code[back:] == code[:-back]) & (text_of[back:] == text_of[:-back])
-        letters = counted[_LOWER] + counted[_UPPER] + counted[_WIDE]
-        tests = (
-            counted[_SYMBOL] > 0,
-            letters + counted[_DIGIT] == 0,
-            (counted[_UPPER] > 1) & (counted[_LOWER] == 0),
-            again[0],
-            again[1],
-            counted[_DIGIT] > 0,
-            length > 12,
-            length < 3,
-        )
-        many = np.maximum(per_text, 1)
-        for k, test in enumerate(tests):
-            out[:, 8 + k] = _sums(test, of_word) / many
-        out[:, 16] = np.log1p(chars / many)
-    lines = _sums(data == 10, bounds)
-    out[:, 17] = np.log1p(per_text)
-    out[:, 18] = lines / np.maximum(per_text, 1)
+        out[:, k] = _sums(kind == what, bounds)
+    out[:, 6] = _sums(data == 33, bounds)
+    out[:, 7] = _sums(data == 124, bounds)
+    out[:, 8], out[:, 9] = per_text, _sums(solid, bounds)
+    out[:, 18] = _sums(data == 10, bounds)
+    if not len(starts):
+        return out, before
+    length = np.add.reduceat(solid, starts, dtype=np.int64)
+    counted = {w: np.add.reduceat(kind == w, starts, dtype=np.int64) for w in (_LOWER, _UPPER, _SYMBOL, _DIGIT, _WIDE)}
+    power = np.cumprod(np.full(64, 0x9E3779B97F4A7C15, np.uint64), dtype=np.uint64)
+    # of each byte its place in its word, as far as it matters
+    step = np.ones(len(data), np.int64)
+    step[: starts[0]], step[starts] = 0, np.concatenate(([0], starts[:-1] - starts[1:] + 1))
+    place = np.cumsum(step, out=step)
+    place &= 63
+    code = power[place]
+    del step, place
+    code *= data.astype(np.uint64) + np.uint64(1)
+    code *= solid
+    code = np.add.reduceat(code, starts) + length.astype(np.uint64)
+    text_of = np.repeat(np.arange(n), per_text)
+    # words of the earlier span belong to the first text
+    codes, texts = np.concatenate((before, code)), np.concatenate((np.zeros(len(before), np.int64), text_of))
+    again = []
+    for back in (1, 2):
+        flags = np.zeros(len(codes), bool)
+        flags[back:] = (codes[back:] == codes[:-back]) & (texts[back:] == texts[:-back])
+        again.append(flags[len(before) :])
+    letters = counted[_LOWER] + counted[_UPPER] + counted[_WIDE]
+    tests = (
+        counted[_SYMBOL] > 0,
+        letters + counted[_DIGIT] == 0,
+        (counted[_UPPER] > 1) & (counted[_LOWER] == 0),
+        again[0],
+        again[1],
+        counted[_DIGIT] > 0,
+        length > 12,
+        length < 3,
+    )
+    for k, test in enumerate(tests):
+        out[:, 10 + k] = _sums(test, of_word)
+    return out, codes[texts == n - 1][-2:]
+
+
+def _long_counts(data: np.ndarray) -> np.ndarray:
+    """Counts of one text, span by span; a span ends between two words."""
+    out, before, low = np.zeros((1, _COUNTS), np.int64), np.zeros(0, np.uint64), 0
+    while low < len(data):
+        high = min(low + CHUNK, len(data))
+        gaps = np.flatnonzero(_KIND[data[low:high]] == _SPACE)
+        if high < len(data) and len(gaps):
+            high = low + int(gaps[-1]) + 1
+        while high < len(data) and not len(gaps):
+            # a word longer than a span is taken whole
+            gaps = np.flatnonzero(_KIND[data[high : high + CHUNK]] == _SPACE)
+            high = high + int(gaps[0]) + 1 if len(gaps) else min(high + CHUNK, len(data))
+        counts, before = _counts(data[low:high], np.array([0, high - low]), before)
+        out += counts
+        low = high
+    return out
+
+
+def _features(counts: np.ndarray) -> np.ndarray:
+    """Features of texts from their counts."""
+    out = np.zeros((len(counts), FEATURES))
+    words, chars = counts[:, 8], counts[:, 9]
+    some, many = np.maximum(chars, 1), np.maximum(words, 1)
+    out[:, :8] = counts[:, :8] / some[:, None]
+    out[:, 8:16] = counts[:, 10:18] / many[:, None]
+    out[:, 16] = np.where(words > 0, np.log1p(chars / many), 0)
+    out[:, 17] = np.log1p(words)
+    out[:, 18] = counts[:, 18] / many
     # a little junk and a lot of it differ less than none and a little
     out[:, 19] = np.sqrt(out[:, 8])
     out[:, 20] = np.sqrt(out[:, 10])
@@ -103,17 +146,22 @@ def _features(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def text_features(texts: pa.Array) -> np.ndarray:
-    """Features of whole texts, in pieces of bounded size."""
+    """Features of whole texts, worked on in spans of bounded size."""
     texts = texts.cast(pa.large_binary()).fill_null(b"")
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     raw = texts.buffers()[2]
     data = np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)
-    rows, low = [np.zeros((0, FEATURES))], 0
+    none = np.zeros(0, np.uint64)
+    rows, low = [np.zeros((0, _COUNTS), np.int64)], 0
     while low < len(texts):
         high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + CHUNK, "right")) - 1)
-        rows.append(_features(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]))
+        piece = data[offsets[low] : offsets[high]]
+        if len(piece) > CHUNK:
+            rows.append(_long_counts(piece))
+        else:
+            rows.append(_counts(piece, offsets[low : high + 1] - offsets[low], none)[0])
         low = high
-    return np.concatenate(rows)
+    return _features(np.concatenate(rows))
 
 
 @dataclass(frozen=True)

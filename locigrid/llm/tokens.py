@@ -16,8 +16,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import pre_tokenizers
 
-# Words and bytes a worker remembers the ids of.
-MEMORY_WORDS = 500_000
+# Words, and parts of words, a worker remembers the ids of: at most about 250 bytes each, so some 16 MB for each kind.
+MEMORY_WORDS = 60_000
 LONGEST_WORD = 48
 # Text worked on at a time.
 CHUNK = 6 << 20
@@ -158,6 +158,8 @@ class Encoder:
             for a, b in zip(bounds[:-1], bounds[1:]):
                 yield ids[a:b]
             low = high
+            # workers outlive tasks and pipelines; what a chunk took goes back to the system
+            pa.default_memory_pool().release_unused()
 
 
 def gathered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
