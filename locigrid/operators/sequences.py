@@ -67,6 +67,41 @@ def sliding_fragments(seqs: DataFrame, size: int = 20_000, step: int = 20_000) -
     )
 
 
+def span_windows(spans: DataFrame, span: int, size: int, step: int) -> DataFrame:
+    """Full windows of records given as spans: ``contig, record, start, end, seq``, 1-based and inclusive.
+
+    ``spans`` has contig, record, start (from 0) and seq, ``span`` letters each.
+    A span gives its windows with the letters it needs from the spans after it,
+    which are sent there, so no task holds a record.
+    """
+    reach = -(-(size - 1) // span)  # spans a window may lie in beyond its own
+    number = (F.col("start") / span).cast("long")
+    tagged = spans.select("contig", "record", number.alias("k"), "seq")
+    # a span before needs no more than a window's letters of this one
+    back = tagged.withColumn("back", F.explode(F.sequence(F.lit(0), F.lit(reach))))
+    head = F.when(F.col("back") == 0, F.col("seq")).otherwise(F.substring("seq", 1, size - 1))
+    sent = back.select("contig", "record", (F.col("k") - F.col("back")).alias("k"), "back", head.alias("seq")).filter("k >= 0")
+    parts = F.sort_array(F.collect_list(F.struct("back", "seq")))
+    text = F.array_join(F.transform(parts, lambda x: x["seq"]), "")
+    whole = sent.groupBy("contig", "record", "k").agg(text.alias("text"))
+    # the first window that starts in the span, and the text from there on in steps
+    first = F.pmod(-F.col("k") * span, F.lit(step))
+    whole = whole.withColumn("first", first).filter(first < span)
+    cut = whole.withColumn("__p", _pieces(F.substring("text", (F.col("first") + 1).cast("int"), F.length("text")), step))
+    over = -(-size // step)
+    windows = F.transform(
+        "__p",
+        lambda piece, i: F.struct(
+            (F.col("first") + i * step).alias("at"),
+            F.substring(F.array_join(F.slice("__p", i + 1, F.lit(over)), ""), 1, size).alias("seq"),
+        ),
+    )
+    full = F.filter(windows, lambda w: (F.length(w["seq"]) == size) & (w["at"] < span))
+    rows = cut.select("contig", "record", "k", F.inline(full))
+    start = F.col("k") * span + F.col("at") + 1
+    return rows.select("contig", "record", start.alias("start"), (start + size - 1).alias("end"), "seq")
+
+
 def concat_first_run(frags: DataFrame, n: int = 80, order: str = "row_order") -> DataFrame:
     """Merge the leftmost ``n`` consecutive windows of one contig per sample.
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from locigrid.operators.joins import anti, join_null_safe, semi
+from locigrid.operators.scans import OrderedScan
 
 
 def rename_positions(df: DataFrame, names: dict[int, str]) -> DataFrame:
@@ -229,3 +230,20 @@ def nested_size(df: DataFrame, column: str, name: str) -> DataFrame:
 def coordinate_sort(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows in total order across partitions, without a gather."""
     return df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+
+
+def ordered_text(df: DataFrame, group: Sequence[str], order: Sequence[str], text: str, part_chars: int = 1 << 20) -> DataFrame:
+    """group, ``part`` and ``joined``: the texts of a group joined in order, in numbered parts.
+
+    A text belongs to the part in which it starts; a part holds about
+    ``part_chars`` characters, so a group of any size passes in bounded memory,
+    and the parts of a group in a row are its text. Groups that fit have the one
+    part 0. ``order`` must be unique in the group; missing texts join as nothing.
+    """
+    rows = df.select(*group, *order, F.coalesce(F.col(text), F.lit("")).alias("__text"))
+    placed = OrderedScan(rows, group, order).running_sum(F.length("__text").cast("long"), "__end").result()
+    start = F.col("__end") - F.length("__text")
+    placed = placed.withColumn("part", F.floor(start / F.lit(part_chars)).cast("long"))
+    in_order = F.sort_array(F.collect_list(F.struct(*order, "__text")))
+    joined = F.array_join(F.transform(in_order, lambda x: x["__text"]), "")
+    return placed.groupBy(*group, "part").agg(joined.alias("joined"))

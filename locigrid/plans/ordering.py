@@ -165,6 +165,22 @@ def ordered_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("conv_id").agg(F.array_join(F.transform(items, lambda x: x["s"]), "").alias("joined"))
 
 
+PART = 24
+
+
+@query(
+    "N05 W07",
+    f"""WITH c AS (SELECT conv_id, turn, upper(substr(role, 1, 1)) || CAST(length(text) AS VARCHAR) AS s FROM conversations),
+          p AS (SELECT *, CAST(coalesce(sum(length(s)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // {PART} AS BIGINT) AS part FROM c)
+        SELECT conv_id, part, string_agg(s, '' ORDER BY turn) AS joined FROM p GROUP BY 1, 2""",
+)
+def ordered_text_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strings of a group joined in order, in numbered parts of bounded size."""
+    rows = table(spark, sf_dir, "conversations")
+    mark = F.concat(F.upper(F.substring("role", 1, 1)), F.length("text").cast("string"))
+    return shape.ordered_text(rows.select("conv_id", "turn", mark.alias("s")), ["conv_id"], ["turn"], "s", PART)
+
+
 @query(
     "W05 W01 A16",
     f"""SELECT CAST(user_id AS VARCHAR) AS contig, count(DISTINCT event_type) AS types, min(CAST(floor(epoch(ts) / 60) AS BIGINT) - 28401120) AS first,

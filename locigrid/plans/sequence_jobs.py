@@ -20,6 +20,9 @@ from locigrid.plans.standins import (
     sequences,
     table,
 )
+from locigrid.session import work_path
+from locigrid.sources import sequences as seq_io
+from locigrid.sources import sinks
 
 STEPS = """steps AS (SELECT contig, pos, sum(d) AS d FROM (SELECT contig, start AS pos, 1 AS d FROM intervals UNION ALL
     SELECT contig, "end", -1 FROM intervals) GROUP BY 1, 2)"""
@@ -116,6 +119,22 @@ def fixed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sq.sliding_fragments(sequences(spark, sf_dir), WINDOW, WINDOW)
 
 
+SPAN, SIZE, STEP = 1_000, 700, 300
+
+
+@query(
+    "Q01 S07",
+    f"""WITH {SEQUENCES}, w AS (SELECT contig, seq, unnest(range(0, length(seq) - {SIZE} + 1, {STEP})) AS i FROM seqs WHERE length(seq) >= {SIZE})
+        SELECT contig, CAST(i + 1 AS BIGINT) AS start, CAST(i + {SIZE} AS BIGINT) AS "end", substr(seq, i + 1, {SIZE}) AS seq FROM w""",
+)
+def windows_of_long_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlapping windows of sequences that are read, joined and cut in spans."""
+    path = work_path(spark, "fasta")
+    sinks.write_fasta(sequences(spark, sf_dir).select("contig", "seq"), path)
+    spans = seq_io.read_fasta_spans(spark, path, SPAN)
+    return sq.span_windows(spans, SPAN, SIZE, STEP).drop("record")
+
+
 RUN = 4
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from locigrid.operators.joins import join_null_safe
+from locigrid.operators.scans import OrderedScan
 from locigrid.session import written
 
 
@@ -27,6 +28,43 @@ def read_fasta(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     )
 
 
+def read_fasta_spans(spark: SparkSession, path: str | Sequence[str], span: int = 1 << 16) -> DataFrame:
+    """``contig, record, start, seq``: sequences in spans of ``span`` letters, the last of a record shorter.
+
+    ``start`` counts from 0 and ``record`` tells equal names apart. Lines, not
+    records, are the rows, so one long record is read and joined by many tasks;
+    headers and offsets reach the lines by a scan that carries one row per split.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("mid"),
+        F.regexp_replace("value", r"\s+$", "").alias("value"),
+    )
+    head = F.col("value").startswith(">")
+    letters = F.when(head, F.lit("")).otherwise(F.regexp_replace("value", r"\s", ""))
+    # written, so that every pass agrees on the numbers
+    name = F.when(head, F.regexp_substr("value", F.lit(r"(?<=^>)\S+")))
+    lines = written(lines.withColumns({"head": head, "letters": letters, "name": name}).drop("value"), "lines")
+    scan = OrderedScan(lines, ["file"], ["mid"], F.col("block"))
+    scan = scan.running_sum(F.length("letters").cast("long"), "upto")
+    placed = scan.fill_down(F.when(F.col("head"), F.struct("mid", "name")), "at").result()
+    begin = placed.filter("head").select("file", F.col("mid").alias("record"), F.col("upto").alias("before"))
+    placed = placed.filter("length(letters) > 0 AND at IS NOT NULL").select("file", "mid", "letters", "upto", F.col("at.mid").alias("record"), F.col("at.name").alias("contig"))
+    placed = join_null_safe(placed, begin, ["file", "record"])
+    first = F.col("upto") - F.col("before") - F.length("letters")
+    # a line that reaches over the end of a span is cut there
+    low, high = F.floor(F.col("first") / span), F.floor((F.col("first") + F.length("letters") - 1) / span)
+    cut = placed.withColumn("first", first).withColumn("k", F.explode(F.sequence(low, high)))
+    skip = F.greatest(F.col("k") * span - F.col("first"), F.lit(0))
+    size = F.least((F.col("k") + 1) * span - F.col("first"), F.length("letters").cast("long")) - skip
+    piece = F.substring("letters", (skip + 1).cast("int"), size.cast("int"))
+    in_order = F.sort_array(F.collect_list(F.struct("first", piece.alias("piece"))))
+    joined = F.array_join(F.transform(in_order, lambda x: x["piece"]), "")
+    spans = cut.groupBy("file", "record", "contig", "k").agg(joined.alias("seq"))
+    return spans.select("contig", F.xxhash64("file", "record").alias("record"), (F.col("k") * span).alias("start"), "seq")
+
+
 def read_fastq(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """``read_id, tags, seq, qual`` from four-line records.
 

@@ -11,9 +11,9 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test table
 CATALOG = load_all()
 # Too small at this scale to return rows; checked on the next scale by tools/compare.py.
 MAY_BE_EMPTY = {
-    "two_level_counts", "foreign_contigs", "unique_mappings", "single_row_groups",
+    "two_level_counts", "foreign_contigs", "unique_mappings", "single_row_groups", "clusters_per_limit",
 }
-SLOW = {"inclusion_ensemble", "contamination_ensemble", "rbf_classes", "forest_search"}
+SLOW = {"inclusion_ensemble", "contamination_ensemble", "rbf_classes"}
 
 
 @pytest.fixture(scope="module")

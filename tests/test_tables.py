@@ -1,5 +1,7 @@
 """Joins, shapes, text, numbers, files."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,6 +9,7 @@ from locigrid.functions import numeric as num
 from locigrid.functions import text as txt
 from locigrid.operators import aggregate as agg
 from locigrid.operators import joins, shape
+from locigrid.operators import sequences as sequence_operators
 from locigrid.session import work_path
 from locigrid.sources import sequences as seq_io
 from locigrid.sources import sinks
@@ -209,3 +212,39 @@ def test_summaries_join_the_same_way_at_any_size(spark, rows, monkeypatch, limit
     df = spark.createDataFrame([("a", 1.0), ("a", 3.0), (None, 2.0)], "k string, v double")
     assert rows(agg.share_of_group(df, ["k"], "v", "s"), "v", "s") == [(1.0, 0.25), (2.0, 1.0), (3.0, 0.75)]
     assert rows(joins.argmax_join(df, ["k"], "v"), "v") == [(2.0,), (3.0,)]
+
+
+def test_a_long_record_is_read_and_cut_by_many_tasks(spark, tmp_path):
+    pick = random.Random(2)
+    record = lambda n: "".join(pick.choices("ACGT", k=n))
+    records = {"c1": record(50_003), "c2": "", "c3": record(7), "c4": record(3_000)}
+    width = {"c1": 61, "c2": 60, "c3": 3, "c4": 3_000}
+    wrap = lambda c: "".join(records[c][i : i + width[c]] + "\r\n" for i in range(0, len(records[c]), width[c]))
+    write_text(tmp_path / "x.fa", "".join(f">{c} note\n{wrap(c)}\n" for c in records))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    try:
+        spans = seq_io.read_fasta_spans(spark, str(tmp_path / "x.fa"), 1_000)
+        got = sorted((r["contig"], r["start"], r["seq"]) for r in spans.collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == sorted((c, i, s[i : i + 1_000]) for c, s in records.items() for i in range(0, len(s), 1_000))
+    for size, step in ((700, 300), (1_000, 1_000), (2_500, 700), (10, 1_700)):
+        found = sorted((r["contig"], r["start"], r["end"], r["seq"]) for r in sequence_operators.span_windows(spans, 1_000, size, step).collect())
+        assert found == sorted((c, i + 1, i + size, s[i : i + size]) for c, s in records.items() for i in range(0, len(s) - size + 1, step))
+
+
+def test_ordered_text_of_one_large_group(spark):
+    rows = spark.range(20_000).selectExpr("'g' AS g", "id", "concat('<', id, '>') AS s").union(spark.createDataFrame([("h", 1, None), (None, 2, "b"), (None, 1, "a")], "g string, id long, s string"))
+    parts = shape.ordered_text(rows, ["g"], ["id"], "s", 1_000).collect()
+    mine = sorted((r["part"], r["joined"]) for r in parts if r["g"] == "g")
+    assert [k for k, _ in mine] == list(range(len(mine))) and len(mine) > 100
+    assert max(len(t) for _, t in mine) < 1_010
+    assert "".join(t for _, t in mine) == "".join(f"<{k}>" for k in range(20_000))
+    assert sorted((r["g"] or "", r["joined"]) for r in parts if r["g"] != "g") == [("", "ab"), ("h", "")]
+
+
+def test_reads_without_bases_keep_their_record(spark, rows, tmp_path):
+    reads = spark.createDataFrame([("r1", "t", "ACGT", "@@@@"), ("r2", "", "", ""), ("r3", None, None, None), ("r4", "u", "A", "I")], "read_id string, tags string, seq string, qual string")
+    sinks.write_fastq(reads.coalesce(1), str(tmp_path / "fq"))
+    got = rows(seq_io.read_fastq(spark, str(tmp_path / "fq")))
+    assert got == [("r1", "t", "ACGT", "@@@@"), ("r2", "", "", ""), ("r3", "", "", ""), ("r4", "u", "A", "I")]
