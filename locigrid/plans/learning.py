@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from locigrid.functions.text import remove_first
 from locigrid.operators import aggregate as agg
-from locigrid.operators import classify, clustering, features, hierarchy, neighbours, sampling, scoring, shape
+from locigrid.operators import classify, clustering, features, hierarchy, inverted, neighbours, sampling, scoring, shape
 from locigrid.operators.scans import ordered_index
 from locigrid.plans.catalog import query
 from locigrid.plans.standins import embeddings, hash_share, hash_share_sql, r6, table, text_of
@@ -37,6 +37,26 @@ def neighbour_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges.withColumn("distance", r6(F.col("distance")))
 
 
+@query("M22 M16", "SELECT count(*) AS rows, true AS recalled, true AS few_compared FROM embeddings")
+def neighbours_by_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten nearest other rows of every row by inverted lists, held against the exact ones.
+
+    ``recalled``: nine of ten exact neighbours are found; ``few_compared``: a
+    query's short list is under a tenth of the rows (tiny tables aside).
+    """
+    rows = cut_lineage(embeddings(spark, sf_dir).select("id", "features"))
+    n = rows.count()
+    found = inverted.nearest_by_codes(rows, rows, 11, 3.0, SHORTLIST)
+    exact = neighbours.nearest(rows, rows, 11, 3.0)
+    share = inverted.recall(found, exact)
+    return rows.agg(
+        F.count("*").alias("rows"), F.lit(share >= 0.9).alias("recalled"), F.lit(SHORTLIST * 10 < n or n < 1_000).alias("few_compared")
+    )
+
+
+# Rows compared exactly per query.
+SHORTLIST = 40
+
 KNN = f"""{VECTORS}, n AS (SELECT q.id, t.label AS class, list_distance(q.f, t.f) AS distance,
     row_number() OVER (PARTITION BY q.id ORDER BY list_distance(q.f, t.f), t.id) AS rank FROM (SELECT * FROM e WHERE {FREE}) q, (SELECT * FROM e WHERE NOT {FREE}) t)"""
 

@@ -113,3 +113,26 @@ def test_components_of_a_long_chain_and_a_star(spark):
     got = {r["node"]: r["component"] for r in neighbours.connected_components(frame).collect()}
     assert all(got[i] == 0 for i in range(201))
     assert all(got[1000 + i] == 1000 for i in range(50))
+
+
+@pytest.mark.parametrize("p", [2.0, 3.0])
+def test_codes_find_most_neighbours_and_compare_few(spark, monkeypatch, p):
+    from locigrid.operators import inverted
+
+    monkeypatch.setattr(inverted, "BLOCK", 100)
+    rng = np.random.default_rng(5)
+    # one tight group holds a third of the rows, the rest has no structure
+    x = np.concatenate([rng.normal(size=(1_000, 16)), rng.normal(scale=0.05, size=(500, 16)) + 3])
+    x[7] = x[8]
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, features array<double>")
+    asked = df.filter("id % 10 = 0")
+    got = inverted.nearest_by_codes(df, asked, 10, p, shortlist=60)
+    exact = [(i, np.argsort((np.abs(x - x[i]) ** p).sum(1), kind="stable")[:10]) for i in range(0, 1_500, 10)]
+    pairs = {(r["id"], r["neighbour"]): (r["rank"], r["distance"]) for r in got.collect()}
+    assert len(pairs) == 1_500
+    assert np.mean([(i, j) in pairs for i, near in exact for j in near.tolist()]) >= 0.9
+    for (i, j), (_, distance) in list(pairs.items())[:200]:
+        assert distance == pytest.approx((np.abs(x[i] - x[j]) ** p).sum() ** (1 / p), abs=1e-9)
+    assert all(pairs[i, i][0] == 1 for i in range(10, 1_500, 10))
+    assert inverted.nearest_by_codes(df.limit(0), asked, 3).count() == 0
+    assert inverted.nearest_by_codes(df.limit(2), asked.limit(1), 3).count() == 2
