@@ -3,9 +3,9 @@
 Only the longest windows are counted: at every word the words that follow it in
 lead columns, padded where a phrase ends. Each shorter phrase that begins there
 is a prefix of its window, so ROLLUP over the lead columns sums the counts of
-all lengths. A first round over windows of two words finds which pairs are
-frequent; the second pads its windows of four where a pair is too rare for any
-phrase across it to be a candidate.
+all lengths. Rounds over windows of one and of two words, counted in the same
+way, find the frequent words and pairs; the round over the longest windows pads
+them where a word or pair is too rare for any phrase across it to be a candidate.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyspark.sql.functions as F
 import xxhash
@@ -27,8 +28,10 @@ TOP = 2000
 SCALE = 2_000_000
 # A phrase goes where a longer one around it has this share of its occurrences, in per cent.
 COVERED = 80
-# Frequent pairs every task may get, 8 bytes each. With more of them windows are padded at the end of a piece only.
-PAIRS = 4_000_000
+# Frequent words, and frequent pairs, that every task may get, 8 bytes each.
+SHARED = 4_000_000
+# Bytes of text worked on at a time.
+CHUNK = 5 << 20
 
 _KINDS = byte_kinds(b"\x20\x09", b".,;:!?\x0a\x0b\x0c\x0d")
 _PAD = np.uint64(0)
@@ -47,66 +50,88 @@ def _lead(column: np.ndarray, piece: np.ndarray, step: int) -> np.ndarray:
     return out
 
 
-def _windows(docs: DataFrame, order: int, frequent: np.ndarray | None = None, named: bool = False) -> DataFrame:
-    """lang, w1 to w``order`` and n: padded windows with how often a task saw them; word hashes, 0 as padding.
+def _windows(docs: DataFrame, order: int, vocabulary: np.ndarray | None = None, frequent: np.ndarray | None = None, last: bool = False) -> DataFrame:
+    """w1 to w``order`` and n: padded windows with how often a batch has them. Words are numbers, 0 is padding.
 
-    With ``frequent``, sorted hashes of pairs, windows are padded from the first pair not among them. With
-    ``named``, windows of one word are left out, and further rows carry a hash in w1 and its word.
+    A number stands for a word of one language. It is the place in ``vocabulary``, sorted hashes, and padding if
+    the word is not there; without a vocabulary it is the hash. With ``frequent``, sorted hashes of pairs, windows
+    are padded from the first pair not among them. Windows no longer than those of an earlier round are left out:
+    those of one word beyond order 1, and in the last round those of two. Windows of order 1 have their language.
+    In the last round, further rows carry a number in w1, its language and its word.
     """
     names = [f"w{k}" for k in range(1, order + 1)]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, 1):
+        for batch in sliced(batches, 1, CHUNK):
             found = words_of(batch.column(1), _KINDS, lower=True, pieces=True)
             if not len(found.codes):
                 continue
-            of_name = np.maximum(found.hashes(), np.uint64(1))
-            word = of_name[found.codes]
             langs = batch.column(0).dictionary_encode()
-            lang = langs.indices.to_numpy(zero_copy_only=False)[found.text_of()]
+            lang = np.repeat(langs.indices.to_numpy(zero_copy_only=False), np.diff(found.bounds))
+            word = _of_language(found.hashes()[found.codes], lang, langs.dictionary)
+            if vocabulary is not None:
+                word = _places(word, vocabulary)
             columns = [word] + [_lead(word, found.piece, k) for k in range(1, order)]
-            good = columns[1] != _PAD
-            if frequent is not None:
-                good[:-1] &= np.isin(_pairs(word[:-1], word[1:], lang[:-1], langs.dictionary), frequent)
+            good = word != _PAD
+            if order > 1:
+                good &= columns[1] != _PAD
+                if frequent is not None:
+                    good &= _places(_pairs(word, columns[1]), frequent) > _PAD
                 reach = good.copy()
                 for k in range(2, order):
                     reach[: len(word) - k + 1] &= good[k - 1 :]
-                    reach[len(word) - k + 1 :] = False
-                    columns[k] = np.where(reach, columns[k], _PAD)
-            if named:
-                use = np.zeros(len(of_name), bool)
-                use[found.codes[good]] = True
-                use[found.codes[1:][good[:-1]]] = True
-                used = np.flatnonzero(use)
-                if len(used):
-                    text = found.names.take(pa.array(used)).cast(pa.string())
-                    zero = np.zeros(len(used), np.uint64)
-                    yield _batch(pa.nulls(len(used), pa.string()), [of_name[used]] + [zero] * (order - 1), zero.astype(np.int64), text, names)
-                columns, lang = [c[good] for c in columns], lang[good]
+                    reach[max(0, len(word) - k + 1) :] = False
+                    columns[k][~reach] = _PAD
+            if last:
+                both = good.copy()
+                both[1:] |= good[:-1]
+                at = np.flatnonzero(both)
+                at = at[np.unique(word[at], return_index=True)[1]]
+                if len(at):
+                    zero = np.zeros(len(at), np.uint64)
+                    text = found.names.take(pa.array(found.codes[at])).cast(pa.string())
+                    yield _batch(langs.dictionary.take(pa.array(lang[at])), [word[at]] + [zero] * (order - 1), zero.astype(np.int64), text, names)
+                good = columns[2] != _PAD if order > 2 else np.zeros(len(word), bool)
+            columns, lang = [c[good] for c in columns], lang[good]
+            del found, word, good
             if len(lang):
-                first, count = _summed(columns, lang)
-                lang_names = langs.dictionary.take(pa.array(lang[first]))
+                first, count = _summed(columns)
+                lang_names = langs.dictionary.take(pa.array(lang[first])) if order == 1 else pa.nulls(len(first), pa.string())
                 yield _batch(lang_names, [c[first] for c in columns], count, pa.nulls(len(first), pa.string()), names)
 
     return _rows(docs).mapInArrow(run, f"lang string, {', '.join(f'{c} long' for c in names)}, n long, word string")
 
 
-def _summed(columns: list[np.ndarray], lang: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _of_language(hashes: np.ndarray, lang: np.ndarray, names: pa.Array) -> np.ndarray:
+    """Hashes of words, each with its language's."""
+    salt = np.array([xxhash.xxh3_64_intdigest(str(x), 1) for x in names.to_pylist()], np.uint64)
+    return np.maximum(hashes ^ salt[lang], np.uint64(1))
+
+
+def _places(values: np.ndarray, sorted_values: np.ndarray) -> np.ndarray:
+    """Place of each value, from 1; 0 where it is not there."""
+    if not len(sorted_values):
+        return np.zeros(len(values), np.uint64)
+    at = np.searchsorted(sorted_values, values)
+    there = sorted_values[np.minimum(at, len(sorted_values) - 1)] == values
+    return np.where(there, at + 1, 0).astype(np.uint64)
+
+
+def _summed(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Where each different window stands first, and how often it comes."""
-    key = lang.astype(np.uint64)
-    for c in columns:
+    key = columns[0]
+    for c in columns[1:]:
         key = (key ^ (key >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + c
     _, first, inverse, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-    if any((c[first][inverse] != c).any() for c in (*columns, lang)):
+    if any((c[first][inverse] != c).any() for c in columns):
         # two windows of one key travel apart and are summed later
-        return np.arange(len(lang)), np.ones(len(lang), np.int64)
+        return np.arange(len(key)), np.ones(len(key), np.int64)
     return first, count
 
 
-def _pairs(first: np.ndarray, second: np.ndarray, lang: np.ndarray, names: pa.Array) -> np.ndarray:
-    """One hash per language and pair of words. Two pairs of one hash would only be counted without need."""
-    salt = np.array([xxhash.xxh3_64_intdigest(str(x)) for x in names.to_pylist()], np.uint64)
-    return (first ^ salt[lang]) + np.uint64(0x9E3779B97F4A7C15) * (second ^ salt[lang])
+def _pairs(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """One hash per pair of words. Two pairs of one hash would only be counted without need."""
+    return (first ^ (first >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + second
 
 
 def _batch(lang: pa.Array, columns: list[np.ndarray], count: np.ndarray, word: pa.Array, names: list[str]) -> pa.RecordBatch:
@@ -114,54 +139,74 @@ def _batch(lang: pa.Array, columns: list[np.ndarray], count: np.ndarray, word: p
     return pa.RecordBatch.from_arrays(arrays, names=["lang", *names, "n", "word"])
 
 
-def _rolled(windows: DataFrame, order: int) -> DataFrame:
-    """lang, w1 to w``order``, words and n: every prefix of the windows with its count; words says how many are not null."""
+def _rolled(windows: DataFrame, order: int, least: int) -> DataFrame:
+    """w1 to w``order``, words and n: the prefixes of the windows that occur ``least`` times; words says how many are
+    not null. Of order 1 also the language, and its total with words 0."""
     names = [f"w{k}" for k in range(1, order + 1)]
     columns = [F.nullif(F.col(c), F.lit(0)).alias(c) for c in names]
+    keys = ["lang", *names] if order == 1 else names
     # padding and the nulls of a rolled-up column are told apart by the grouping number
-    rolled = windows.filter("word is null").select("lang", *columns, "n").rollup("lang", *names).agg(F.sum("n").alias("n"), F.grouping_id().alias("g"))
+    counted = windows.filter("n > 0").select("lang", *columns, "n").rollup(*keys).agg(F.sum("n").alias("n"), F.grouping_id().alias("g"))
     length = sum((F.col(c).isNotNull().cast("int") for c in names), F.lit(0))
-    depth = F.lit(order) - F.bit_count("g")
-    return rolled.withColumn("words", length).filter((depth == F.col("words")) & F.col("lang").isNotNull()).drop("g")
-
-
-def _pair_hashes(pairs: DataFrame) -> np.ndarray:
-    """Hash of each pair as tasks compute it, sorted."""
-    found = pairs.select("lang", "w1", "w2").toArrow().combine_chunks()
-    if not found.num_rows:
-        return np.zeros(0, np.uint64)
-    langs = found["lang"].combine_chunks().dictionary_encode()
-    first, second = (found[c].to_numpy().view(np.uint64) for c in ("w1", "w2"))
-    return np.unique(_pairs(first, second, langs.indices.to_numpy(zero_copy_only=False), langs.dictionary))
+    whole = F.lit(order) - F.bit_count("g") == F.col("words")
+    total = (F.col("words") == 0) & F.col("lang").isNotNull() if order == 1 else F.lit(False)
+    return counted.withColumn("words", length).filter(whole & (total | ((F.col("words") > 0) & (F.col("n") >= least)))).drop("g")
 
 
-def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, max_pairs: int = PAIRS) -> DataFrame:
+def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, shared: int = SHARED) -> DataFrame:
     """lang, words, phrase and n of the phrases of up to ``longest`` words that occur ``least`` times in a language.
 
     A row with words 0 and an empty phrase says how many words the language has.
     Single words are given where they are part of a longer phrase of the table.
+    Of frequent words and of frequent pairs, tasks get up to ``shared``; where
+    there are more, windows are padded later than they could be.
     """
-    short = stored(_rolled(_windows(docs, 2), 2).filter((F.col("n") >= least) | (F.col("words") == 0)), "pairs")
-    pairs = short.filter("words = 2")
-    frequent = _pair_hashes(pairs) if pairs.count() <= max_pairs else None
-    windows = stored(_windows(docs, longest, frequent, named=True), "windows")
+    single = stored(_rolled(_windows(docs, 1), 1, least), "words").withColumnRenamed("w1", "hash")
+    common = single.filter("words = 1").select("hash").distinct()
+    vocabulary = None
+    if common.count() <= shared:
+        vocabulary = np.sort(common.toArrow()["hash"].to_numpy().view(np.uint64))
+    pairs = stored(_rolled(_windows(docs, 2, vocabulary), 2, least).filter("words = 2"), "pairs")
+    frequent = None
+    if pairs.count() <= shared:
+        ends = pairs.select("w1", "w2").toArrow()
+        frequent = np.unique(_pairs(*(ends[c].to_numpy().view(np.uint64) for c in ("w1", "w2"))))
+    windows = stored(_windows(docs, longest, vocabulary, frequent, last=True), "windows")
+
     names = [f"w{k}" for k in range(1, longest + 1)]
-    long = _rolled(windows, longest).filter((F.col("n") >= least) & (F.col("words") >= 2))
-    both = long.unionByName(short.filter("words = 1"), allowMissingColumns=True).withColumn("hashes", F.array_compact(F.array(*names)))
-    one = F.when(F.min("word") == F.max("word"), F.min("word")).otherwise(F.raise_error(F.lit("two words share a hash")))
-    dictionary = stored(windows.filter("word is not null").groupBy(F.col("w1").alias("hash")).agg(one.alias("word")), "words")
-    spelled = both.select("lang", "words", "n", "hashes", F.posexplode("hashes").alias("at", "hash")).join(dictionary, "hash")
+    long = _rolled(windows, longest, least).filter("words > 2").unionByName(pairs, allowMissingColumns=True)
+    spelled = long.select("words", "n", F.array_compact(F.array(*names)).alias("numbers"))
+    alike = (F.min("word") == F.max("word")) & (F.min("lang") == F.max("lang"))
+    one = lambda c: F.when(alike, F.min(c)).otherwise(F.raise_error(F.lit("two words share a hash"))).alias(c)
+    dictionary = windows.filter("word is not null").groupBy(F.col("w1").alias("number")).agg(one("lang"), one("word"))
+    dictionary = stored(dictionary, "names")
+    spelled = spelled.select("*", F.posexplode("numbers").alias("at", "number")).join(dictionary, "number")
     in_order = F.sort_array(F.collect_list(F.struct("at", "word")))
-    found = spelled.groupBy("lang", "words", "n", "hashes").agg(F.array_join(F.transform(in_order, lambda x: x["word"]), " ").alias("phrase"))
-    totals = short.filter("words = 0").select("lang", "words", F.lit("").alias("phrase"), "n")
-    return found.select("lang", "words", "phrase", "n").union(totals)
+    phrase = F.array_join(F.transform(in_order, lambda x: x["word"]), " ").alias("phrase")
+    found = spelled.groupBy("words", "n", "numbers").agg(F.min("lang").alias("lang"), phrase).select("lang", "words", "phrase", "n")
+    # a word of the dictionary by its hash
+    hashed = dictionary.select("word", _hash_of("lang", "word").alias("hash"))
+    alone = single.filter("words = 1").join(hashed, "hash").select("lang", "words", F.col("word").alias("phrase"), "n")
+    return found.union(alone).union(single.filter("words = 0").select("lang", "words", F.lit("").alias("phrase"), "n"))
+
+
+def _hash_of(lang: str, word: str) -> Column:
+    """Hash of a word and its language as the windows have it."""
+
+    @F.pandas_udf("long")
+    def hashed(langs: pd.Series, words: pd.Series) -> pd.Series:
+        bare = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+        names = pa.array(langs, pa.string()).dictionary_encode()
+        return pd.Series(_of_language(bare, names.indices.to_numpy(zero_copy_only=False), names.dictionary).view(np.int64))
+
+    return hashed(F.col(lang), F.col(word))
 
 
 def _part(words: Column, begin: int | Column, size: int | Column) -> Column:
     return F.array_join(F.slice(words, begin, size), " ")
 
 
-def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, top: int = TOP, max_pairs: int = PAIRS) -> DataFrame:
+def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, top: int = TOP, shared: int = SHARED) -> DataFrame:
     """The ``top`` best phrases of each language: lang, rank, phrase, a, l, r, n and score.
 
     Documents of no language count as ``und``, as do those that carry that name;
@@ -170,7 +215,7 @@ def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, to
     empty result. Counts are exact; the words of a phrase are known by 64 bits of
     hash until they are spelled, and two words of one hash stop the job.
     """
-    known = stored(phrase_counts(docs, longest, least, max_pairs), "phrases")
+    known = stored(phrase_counts(docs, longest, least, shared), "phrases")
     counted = known.filter("words > 0").select("lang", "phrase", "n")
     words = F.split("phrase", " ")
     candidates = known.filter("words >= 2").select("lang", "phrase", "words", F.col("n").alias("a"), words.alias("ws"))
