@@ -10,14 +10,16 @@ import pyspark.sql.functions as F
 import zstandard
 from pyspark.sql import Column, DataFrame
 
-from locigrid.llm.common import key_crc, share_of
+from locigrid.llm.common import key_crc, share_of, small_side, stored
 
 UNKNOWN = "und"
-# Bounds of the fit: text of each language in its dictionary, the pieces it is
-# cut from, and the languages learned (the most frequent).
+# Bounds of the fit: text of a language in its dictionary, the pieces it is cut
+# from, and the text in all dictionaries together. Every language is learned; where
+# there are very many, each has a smaller dictionary.
 DICTIONARY_BYTES = 256 * 1024
 PIECE_CHARS = 512
-MAX_LANGUAGES = 256
+ALL_BYTES = 64 << 20
+LEAST_BYTES = 1024
 LEVEL = 5
 # Bytes compressed at a time. Beyond some of them a text is its own dictionary
 # and says no more about the language, so long texts are coded in blocks.
@@ -70,38 +72,39 @@ class Coder:
 def fit(docs: DataFrame, held_out: Column) -> dict[str, tuple[bytes, float]]:
     """A raw dictionary per language from a sample of bounded size, and the share of its documents.
 
-    Of every language documents are drawn by hash until about twice the
-    dictionary is covered, and of each one piece at a place also drawn by hash.
+    Of every language texts are drawn by hash until about twice the dictionary is
+    covered, and of each one piece at a place also drawn by hash. The draw is by
+    doc_id and text, so that many rows of one doc_id are drawn like others, and
+    rows repeated whole are drawn once.
     """
     known = docs.select(
         F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.col("doc_id").alias("key"), held_out.alias("held")
     ).filter("not held and lang is not null and text is not null and length(trim(text)) > 0")
-    counts = (
-        known.groupBy("lang")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum(F.least(F.length("text"), F.lit(PIECE_CHARS))).alias("chars"))
-        .orderBy(F.desc("n"), "lang")
-        .limit(MAX_LANGUAGES)
-        .collect()
-    )
-    if not counts:
+    chars = F.sum(F.least(F.length("text"), F.lit(PIECE_CHARS))).alias("chars")
+    counts = stored(known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), chars), "languages")
+    totals = counts.agg(F.count(F.lit(1)).alias("languages"), F.sum("n").alias("n")).first()
+    if not totals["languages"]:
         return {}
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 2 * DICTIONARY_BYTES / r["chars"]))])
-    draw = share_of("language", F.col("key"))
-    place = share_of("place", F.col("key"))
+    bytes_each = max(LEAST_BYTES, min(DICTIONARY_BYTES, ALL_BYTES // totals["languages"]))
+    shares = counts.select("lang", F.least(F.lit(1.0), 2 * bytes_each / F.col("chars")).alias("share"), (F.col("n") / totals["n"]).alias("often"))
+    seen = F.xxhash64("text")
+    place = share_of("place", F.col("key"), seen)
     begin = F.greatest(F.lit(1), F.floor(place * (F.length("text") - PIECE_CHARS)).cast("int"))
     rows = (
-        known.withColumn("draw", draw)
-        .filter(F.col("draw") < share[F.col("lang")])
-        .select("lang", "draw", F.substring(F.col("text"), begin, F.lit(PIECE_CHARS)).alias("piece"))
+        known.withColumn("draw", share_of("language", F.col("key"), seen))
+        .join(small_side(shares), "lang")
+        .filter(F.col("draw") < F.col("share"))
+        .select("lang", "often", "draw", F.substring(F.col("text"), begin, F.lit(PIECE_CHARS)).alias("piece"))
+        .distinct()
         .collect()
     )
     out: dict[str, list[bytes]] = {}
+    often = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["draw"], r["piece"])):
         out.setdefault(r["lang"], []).append(plain(r["piece"]))
+        often[r["lang"]] = r["often"]
     # what stands last in a dictionary is cheapest to refer to
-    total = sum(r["n"] for r in counts)
-    shares = {r["lang"]: r["n"] / total for r in counts}
-    return {lang: (b" ".join(pieces)[:DICTIONARY_BYTES] or b"        ", shares[lang]) for lang, pieces in out.items()}
+    return {lang: (b" ".join(pieces)[:bytes_each] or b"        ", often[lang]) for lang, pieces in out.items()}
 
 
 def language_of(column: str, dictionaries: dict[str, tuple[bytes, float]]) -> Column:

@@ -47,17 +47,39 @@ def spans_of(text: Column, rule: Rule, number: int) -> Column:
     whole = F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)), lambda s: F.length(s))
     tested = F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)), lambda s: F.length(s)) if rule.group else whole
     each = F.arrays_zip(F.slice(between, 1, F.size(whole)).alias("gap"), whole.alias("size"), tested.alias("tested"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int>>").alias("found"))
 
-    def step(state: Column, match: Column) -> Column:
-        start = state["at"] + match["gap"]
-        end = start + match["size"]
-        span = F.struct(start.alias("start"), F.lit(number).alias("kind"), end.alias("end"))
-        found = F.when(match["tested"] >= rule.least, F.concat(state["found"], F.array(span))).otherwise(state["found"])
-        return F.struct(end.alias("at"), found.alias("found"))
+    def spans(matches: Column) -> Column:
+        # in blocks: where a block begins is summed over blocks, where a match begins inside its block
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(matches) - 1) / BLOCK)), lambda k: F.slice(matches, (k * BLOCK + 1).cast("int"), F.lit(BLOCK)))
+        widths = F.transform(blocks, lambda m: F.aggregate(m, F.lit(0), lambda acc, x: acc + x["gap"] + x["size"]))
+        starts = _starts(widths)
+        return F.flatten(F.transform(F.arrays_zip(blocks.alias("m"), starts.alias("at")), lambda x: _in_block(x["m"], x["at"])))
 
+    def _in_block(matches: Column, begin: Column) -> Column:
+        at = _starts(F.transform(matches, lambda x: x["gap"] + x["size"]))
+        placed = F.filter(F.arrays_zip(matches.alias("m"), at.alias("at")), lambda x: x["m"]["tested"] >= rule.least)
+
+        def span(x: Column) -> Column:
+            start = begin + x["at"] + x["m"]["gap"]
+            return F.struct(start.alias("start"), F.lit(number).alias("kind"), (start + x["m"]["size"]).alias("end"))
+
+        return F.transform(placed, span)
+
+    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     # without a match there is nothing to add up
-    return F.when(F.regexp_like(text, F.lit(rule.pattern)), F.aggregate(each, zero, step, lambda s: s["found"])).otherwise(zero["found"])
+    # the list is bound to a name by way of a list of one, or it would be made again for every block
+    return F.when(F.regexp_like(text, F.lit(rule.pattern)), F.flatten(F.transform(F.array(each), spans))).otherwise(none)
+
+
+# Matches whose places are summed together; a list is copied for every match of a block.
+BLOCK = 256
+
+
+def _starts(widths: Column) -> Column:
+    """Where each of ``widths`` begins if they stand in a row."""
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+    step = lambda s, w: F.struct((s["at"] + w).alias("at"), F.concat(s["starts"], F.array(s["at"])).alias("starts"))
+    return F.aggregate(widths, zero, step, lambda s: s["starts"])
 
 
 def scan(texts: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:

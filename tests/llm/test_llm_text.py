@@ -251,3 +251,46 @@ def test_masked_texts_hold_no_secret(docs, empty):
         want.append((key, None if text is None else out + text[at:]))
     assert sorted(map(str, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(str, want))
     assert secrets.without_secrets(empty).count() == 0
+
+
+def test_languages_against_plain_compression(spark):
+    """Every text coded by hand under the raw text of every language; 300 languages, of which none is left out."""
+    import zstandard
+
+    pick = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    vocabulary = {f"l{k:03}": ["".join(pick.choices(letters, k=6)) for _ in range(12)] for k in range(300)}
+    rows = []
+    for k in range(1_200):
+        lang = f"l{k % 300:03}"
+        rows.append((k, " ".join(pick.choices(vocabulary[lang], k=40)), lang, "s"))
+    # one doc_id with very many rows
+    rows += [(5, " ".join(pick.choices(vocabulary["l005"], k=30)), "l005", "s") for _ in range(50)]
+    docs = documents(spark, rows)
+    held = lambda k: zlib.crc32(str(k).encode()) % 4 == 2
+    learned = language.fit(docs, F.crc32(F.col("doc_id").cast("string")) % 4 == 2)
+    assert set(learned) == {lang for k, _, lang, _ in rows if not held(k)}
+    # all texts are short, so a dictionary has each of them, once
+    for lang, (raw, often) in learned.items():
+        known = [t for k, t, n, _ in rows if n == lang and not held(k)]
+        assert sorted(raw.decode().split()) == sorted(" ".join(set(known)).split())
+        assert often == pytest.approx(len(known) / sum(not held(k) for k, *_ in rows))
+    got = {(r.doc_id, r.lang_pred) for r in language.languages(docs).collect()}
+    coders = {n: zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT), level=language.LEVEL, write_content_size=False, write_dict_id=False) for n, (raw, _) in learned.items()}
+    for k, text, lang, _ in rows[:40]:
+        sizes = {n: len(c.compress(text.encode())) - language.BYTES_PER_NAT * np.log(learned[n][1]) for n, c in coders.items()}
+        least = min(sizes.values())
+        assert any((k, n) in got for n in sizes if sizes[n] <= least + 2)
+    hits = sum((k, lang) in got for k, _, lang, _ in rows[:1_200])
+    assert hits > 1_150
+
+
+def test_many_secrets_in_one_text(spark):
+    text = " ".join(f"token=abcdefghijkl{k}" if k % 2 else "é" * (k % 7) + " AKIA" + "B" * (12 + k % 5) for k in range(1_500))
+    (row,) = secrets.scan(spark.createDataFrame([(text,)], "text string")).collect()
+    wanted = []
+    for kind, rule in enumerate(secrets.RULES):
+        for m in re.finditer(rule.pattern, text):
+            if len(m.group(rule.group)) >= rule.least:
+                wanted.append((m.start(), kind, m.end()))
+    assert [tuple(s) for s in row.spans] == sorted(wanted) and len(wanted) > 1_000
