@@ -106,6 +106,32 @@ def densify(
     return natural_left(grid, data).fillna(fill)
 
 
+def grid_summary(data: DataFrame, dimensions: dict[str, DataFrame], by: str, value: str, fill: float = 0.0) -> DataFrame:
+    """What ``densify`` and an aggregate by one dimension give, without the grid.
+
+    A grid is its filled cells, the sizes of its dimensions and a default value:
+    cells nobody filled are counted by arithmetic. ``data`` has one row per cell
+    (the dimensions and ``value``); rows beyond the dimensions take no part.
+    Returns ``by, cells, filled, total, mean, least, most`` for every value of
+    the dimension ``by``. A missing key is a value of its dimension.
+    """
+    names = list(dimensions)
+    values = {name: dimensions[name].select(F.col(dimensions[name].columns[0]).alias(name)).distinct() for name in names}
+    others = math.prod(values[name].count() for name in names if name != by)
+    seen = data.select(*names, F.col(value).cast("double").alias("__v"))
+    for name in names:
+        seen = join_null_safe(seen, sized(values[name]), [name], "left_semi")
+    sums = seen.groupBy(by).agg(F.count("*").alias("filled"), F.sum("__v").alias("__sum"), F.min("__v").alias("__min"), F.max("__v").alias("__max"))
+    whole = natural_left(values[by], sums).fillna({"filled": 0, "__sum": 0.0})
+    empty = F.lit(others) - F.col("filled")
+    default = F.when(empty > 0, F.lit(float(fill)))
+    total = F.col("__sum") + empty * F.lit(float(fill))
+    return whole.select(
+        by, F.lit(others).cast("long").alias("cells"), "filled", total.alias("total"), F.try_divide(total, F.lit(float(others))).alias("mean"),
+        F.least("__min", default).alias("least"), F.greatest("__max", default).alias("most"),
+    )
+
+
 def is_best(df: DataFrame, value: str, best: Column) -> Column:
     """Whether the value is the maximum ``best``.
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from locigrid.operators.joins import join_null_safe
-from locigrid.session import cut_lineage, sized
+from locigrid.session import BROADCAST_ROWS, cut_lineage, sized
 
 BUCKET = "__bucket"
 GROUP = "__group"
@@ -220,15 +220,17 @@ LEVELS = 10
 
 
 def _cuts(rows: DataFrame) -> DataFrame:
-    """Per group the bucket in which the budget ends, null if none, and what was spent before it."""
-    totals = rows.groupBy(*KEYS).agg(F.sum("__value").alias("__total"), F.max("__budget").alias("__limit"), F.max("__base").alias("__spent"))
+    """Per group the bucket in which the budget ends, null if none, what was spent before it, and its rows."""
+    totals = rows.groupBy(*KEYS).agg(
+        F.sum("__value").alias("__total"), F.max("__budget").alias("__limit"), F.max("__base").alias("__spent"), F.count("*").alias("__rows")
+    )
     upto = F.sum("__total").over(
         Window.partitionBy(GROUP).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     totals = totals.withColumn("__upto", F.col("__spent") + upto)
-    full = F.when(F.col("__upto") >= F.col("__limit"), F.struct(BUCKET, (F.col("__upto") - F.col("__total")).cast("double").alias("before")))
+    full = F.when(F.col("__upto") >= F.col("__limit"), F.struct(BUCKET, (F.col("__upto") - F.col("__total")).cast("double").alias("before"), "__rows"))
     cuts = totals.groupBy(GROUP).agg(F.min(full).alias("__c"))
-    return cuts.select(GROUP, F.col("__c")[BUCKET].alias("__cut"), F.col("__c.before").alias("__before"))
+    return cuts.select(GROUP, F.col("__c")[BUCKET].alias("__cut"), F.col("__c.before").alias("__before"), F.col("__c.__rows").alias("__rows"))
 
 
 def take_until(
@@ -260,21 +262,18 @@ def take_until(
     kept, level = [], 1
     while True:
         placed = inside.withColumn(BUCKET, at(level))
-        marked = placed.join(sized(_cuts(placed)), GROUP)
+        cuts = cut_lineage(_cuts(placed))
+        found = cuts.agg(F.count("*").alias("groups"), F.max("__rows").alias("rows")).first()
+        marked = placed.join(F.broadcast(cuts) if found["groups"] <= BROADCAST_ROWS else cuts, GROUP)
         kept.append(marked.filter(F.col("__cut").isNull() | (F.col(BUCKET) < F.col("__cut"))).select(*df.columns))
         last = marked.filter(F.col(BUCKET) == F.col("__cut")).withColumn("__base", F.col("__before"))
-        last = last.select(*df.columns, GROUP, "__value", "__budget", "__base")
-        if level == most:
+        last = last.select(*df.columns, GROUP, "__value", "__budget", "__base", "__rows")
+        if level == most or (found["rows"] or 0) <= CUT_ROWS:
             kept.append(_sorted_cut(last, order).select(*df.columns))
             break
         last = cut_lineage(last)
-        sizes = last.groupBy(GROUP).agg((F.count("*") > CUT_ROWS).alias("__large"))
-        if sizes.filter("__large").isEmpty():
-            kept.append(_sorted_cut(last, order).select(*df.columns))
-            break
-        dealt = last.join(sized(sizes), GROUP)
-        kept.append(_sorted_cut(dealt.filter(~F.col("__large")), order).select(*df.columns))
-        inside = dealt.filter("__large").drop("__large")
+        kept.append(_sorted_cut(last.filter(F.col("__rows") <= CUT_ROWS), order).select(*df.columns))
+        inside = last.filter(F.col("__rows") > CUT_ROWS).drop("__rows")
         level += 1
     out = kept[0]
     for part in kept[1:]:

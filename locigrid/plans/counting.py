@@ -527,3 +527,17 @@ def axis_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = features.impute_within(rows, "motif", "x", index)
     nation = table(spark, sf_dir, "nation").select(text_of("n_nationkey").alias("bin"), "n_regionkey")
     return features.leaf_order(vectors.join(nation, "bin"), ["n_regionkey"], "contig")
+
+
+@query(
+    "M24",
+    f"""WITH {SCORED}, {CONTIG_BIN}, {CELLS}, c AS (SELECT DISTINCT contig, bin FROM cells)
+        SELECT n_regionkey, count(*) AS rows, count(DISTINCT contig) AS contigs, true AS in_range FROM c JOIN nation ON bin = CAST(n_nationkey AS VARCHAR) GROUP BY 1""",
+)
+def axis_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every contig has one place on its region's axis, counted from 0 and below the number of contigs."""
+    order = axis_order(spark, sf_dir)
+    return order.groupBy("n_regionkey").agg(
+        F.count("*").alias("rows"), F.count_distinct("contig").alias("contigs"),
+        ((F.min("leaf") == 0) & (F.max("leaf") < F.count("*"))).alias("in_range"),
+    )

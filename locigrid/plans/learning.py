@@ -156,6 +156,52 @@ def principal_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id", F.posexplode("features").alias("component", "value"))
 
 
+@query(
+    "M05 M04",
+    """WITH x AS (SELECT vec_id AS id, unnest(embedding)::DOUBLE AS x, unnest(range(64)) AS dim FROM embeddings), s AS (SELECT dim, avg(x) AS m, stddev_pop(x) AS sd FROM x GROUP BY 1)
+       SELECT id, round(sum(((x - m) / sd) ** 2), 4) AS norm FROM x JOIN s USING (dim) GROUP BY id""",
+)
+def component_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Squared length of every row in all its components, which is that of its standardised numbers."""
+    out = _reduced(embeddings(spark, sf_dir).select("id", "features"), 0.9999999)
+    return out.select("id", F.round(F.aggregate("features", F.lit(0.0), lambda acc, v: acc + v * v), 4).alias("norm"))
+
+
+@query(
+    "M06 M07 M09 M05",
+    "SELECT method, count(*) AS rows, true AS within_k, true AS better_than_chance FROM embeddings, (VALUES ('kmeans'), ('mixture'), ('ward')) AS m(method) GROUP BY method",
+)
+def cluster_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What holds of any good labels, whatever their names: every row has one of at most ten, and the means of the
+    clusters explain at least three times the spread that labels drawn by chance would."""
+    points = cut_lineage(_reduced(embeddings(spark, sf_dir)))
+    makers = {"kmeans": clustering.kmeans_labels, "mixture": clustering.gmm_labels, "ward": clustering.ward_labels}
+    labels = shape.union_strict(*[make(points, 10).withColumn("method", F.lit(name)) for name, make in makers.items()])
+    cells = cut_lineage(labels).join(points, "id").select("method", "cluster", "id", F.posexplode("features").alias("j", "v"))
+    # numbers of the components have mean 0, so their squares are the spread
+    sums = cells.groupBy("method", "cluster", "j").agg(F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q"), F.count("*").alias("n"))
+    per = sums.groupBy("method").agg(
+        F.sum(F.when(F.col("j") == 0, F.col("n"))).alias("rows"), F.count_distinct("cluster").alias("k"),
+        F.sum(F.col("s") * F.col("s") / F.col("n")).alias("between"), F.sum("q").alias("all"),
+    )
+    chance = (F.col("k") - 1) / (F.col("rows") - 1)
+    return per.select("method", "rows", (F.col("k") <= 10).alias("within_k"), (F.col("between") / F.col("all") > 3 * chance).alias("better_than_chance"))
+
+
+@query("M08 M22", "SELECT count(*) AS rows, true AS within_k, true AS better_than_chance FROM embeddings")
+def spectral_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spectral labels join neighbours: a larger share of the graph's edges lies inside clusters than their sizes alone would give."""
+    points = cut_lineage(_reduced(embeddings(spark, sf_dir)).select("id", "features"))
+    labels = cut_lineage(clustering.spectral_labels(points, 10))
+    edges = neighbours.knn_graph(points, 10, 2.0).join(labels, "id")
+    other = labels.select(F.col("id").alias("neighbour"), F.col("cluster").alias("theirs"))
+    inside = edges.join(other, "neighbour").agg(F.avg((F.col("cluster") == F.col("theirs")).cast("double")).alias("inside"))
+    sizes = labels.groupBy("cluster").agg(F.count("*").alias("n"))
+    chance = sizes.agg(F.sum("n").alias("rows"), F.count("*").alias("k"), (F.sum(F.col("n") * F.col("n")) / F.pow(F.sum("n"), 2)).alias("chance"))
+    both = chance.withColumn("inside", inside.scalar())
+    return both.select("rows", (F.col("k") <= 10).alias("within_k"), (F.col("inside") > F.col("chance")).alias("better_than_chance"))
+
+
 @query("M06")
 def kmeans_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.kmeans_labels(_reduced(embeddings(spark, sf_dir)), 10)
@@ -195,11 +241,25 @@ def rbf_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify.rbf_machine(binned, free)
 
 
-@query("M21 M16")
+NEIGHBOUR_GRID = {"k": [3, 5, 7, 9], "weights": ["uniform", "distance"]}
+FOLD = "CAST(CAST('0x' || substr(md5('42|fold|' || id), 1, 8) AS BIGINT) % 5 AS INTEGER)"
+NEIGHBOUR_SETTINGS = ", ".join(f"({s['k']}, '{s['weights']}')" for s in classify.pick_settings(NEIGHBOUR_GRID, 5, 42))
+
+
+@query(
+    "M21 M16",
+    f"""WITH {VECTORS}, r AS (SELECT *, {FOLD} AS fold FROM e), s(k, weights) AS (VALUES {NEIGHBOUR_SETTINGS}),
+      d AS (SELECT q.id, q.fold, q.label AS truth, t.id AS near, t.label AS class, list_distance(q.f, t.f) AS d FROM r q JOIN r t ON q.fold <> t.fold),
+      n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, near) AS rank, min(d) OVER (PARTITION BY id) AS least FROM d),
+      v AS (SELECT k, weights, fold, id, truth, class, sum(CASE WHEN weights = 'uniform' THEN 1.0::DOUBLE WHEN least = 0 THEN CAST(d = 0 AS DOUBLE) ELSE 1 / d END) AS v
+        FROM n JOIN s ON rank <= k GROUP BY ALL),
+      b AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY k, weights, id ORDER BY v DESC, class) = 1),
+      a AS (SELECT k, weights, fold, avg(CAST(class = truth AS DOUBLE)) AS accuracy FROM b GROUP BY ALL)
+      SELECT k, weights, round(avg(accuracy), 6) AS accuracy FROM a GROUP BY ALL""",
+)
 def neighbour_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cross-validated accuracy of five random neighbour settings."""
-    grid = {"k": [3, 5, 7, 9], "weights": ["uniform", "distance"]}
-    return classify.search_knn(embeddings(spark, sf_dir), grid)
+    return classify.search_knn(embeddings(spark, sf_dir), NEIGHBOUR_GRID).withColumn("accuracy", r6(F.col("accuracy")))
 
 
 # The method's lists of settings.
@@ -236,6 +296,30 @@ def _plane_sql(rows: str, part: str, divisor: str) -> str:
 PLANE = "p AS (SELECT vec_id AS id, CAST(label AS VARCHAR) AS label, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b FROM embeddings)"
 
 
+@query(
+    "M17 M18 M15",
+    f"""WITH {VECTORS}, c AS (SELECT count(DISTINCT label) AS c FROM e WHERE NOT {FREE})
+      SELECT method, count(*) AS rows, min(c) AS classes, true AS sums_to_one, true AS better_than_chance FROM e, c, (VALUES ('forest'), ('machine'), ('discriminant')) AS m(method) WHERE NOT {FREE} GROUP BY method""",
+)
+def classifier_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of three classifiers asked about the rows they learned from: a probability of every class for every row, which
+    sum to one, and more hits than chance would give. The labels of other rows do not follow from these vectors."""
+    binned = cut_lineage(binned_and_free(spark, sf_dir)[0])
+    found = {
+        "forest": classify.random_forest(binned, binned, trees=30),
+        "machine": classify.rbf_machine(binned, binned, size=64, rounds=8),
+        "discriminant": classify.LinearDiscriminant.fit(binned).probabilities(binned),
+    }
+    every = cut_lineage(shape.union_strict(*[df.select("id", "class", "prob").withColumn("method", F.lit(m)) for m, df in found.items()]))
+    best = F.max_by("class", F.struct("prob", "class")).alias("class")
+    rows = every.groupBy("method", "id").agg(F.sum("prob").alias("p"), F.count_distinct("class").alias("classes"), best)
+    rows = rows.join(binned.select("id", "label"), "id")
+    return rows.groupBy("method").agg(
+        F.count("*").alias("rows"), F.min("classes").alias("classes"), (F.max(F.abs(F.col("p") - 1)) < 1e-6).alias("sums_to_one"),
+        (F.avg((F.col("class") == F.col("label")).cast("double")) > 1.0 / F.min("classes")).alias("better_than_chance"),
+    )
+
+
 @query(
     "M15",
     f"""WITH {PLANE}, t AS (SELECT 0 AS g, * FROM p WHERE NOT {FREE}), {_plane_sql("t", "g", "n - c")},
@@ -252,9 +336,8 @@ def discriminant_in_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _search_sql() -> str:
     """Accuracy of the drawn settings: refitted for every fold, which the one pass must equal."""
-    fold = "CAST(CAST('0x' || substr(md5('42|fold|' || id), 1, 8) AS BIGINT) % 5 AS INTEGER)"
     settings = classify.pick_settings(DISCRIMINANT_GRID, 5, 42)
-    parts = [f"""WITH {PLANE}, r AS (SELECT *, {fold} AS fold FROM p), t AS (SELECT g, r.* FROM r, range(5) AS x(g) WHERE fold <> g)"""]
+    parts = [f"""WITH {PLANE}, r AS (SELECT *, {FOLD} AS fold FROM p), t AS (SELECT g, r.* FROM r, range(5) AS x(g) WHERE fold <> g)"""]
     both = {"svd": "n - c", "biased": "n"}
     for kind, divisor in both.items():
         inner = _plane_sql("t", "g", divisor).replace("k AS (", f"k_{kind} AS (", 1)

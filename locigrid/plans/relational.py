@@ -307,6 +307,21 @@ def densified_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.densify(data.agg(F.count("*").alias("n")), dims, {"n": 0})
 
 
+@query(
+    "J06 J05 A03",
+    f"""WITH {SCORED}, d AS (SELECT contig, motif, mod_type, count(*) AS n FROM scored WHERE mean_read_cov > 2 GROUP BY 1, 2, 3),
+        g AS (SELECT * FROM (SELECT DISTINCT contig FROM scored), (SELECT DISTINCT motif FROM scored), (SELECT DISTINCT mod_type FROM scored))
+        SELECT contig, count(*) AS cells, count(n) AS filled, CAST(sum(coalesce(n, 0)) AS DOUBLE) AS total, round(avg(coalesce(n, 0)), 9) AS mean,
+          CAST(min(coalesce(n, 0)) AS DOUBLE) AS least, CAST(max(coalesce(n, 0)) AS DOUBLE) AS most FROM g LEFT JOIN d USING (contig, motif, mod_type) GROUP BY 1""",
+)
+def grid_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summary by contig over all combinations of three dimensions, which are counted and never built."""
+    rows = scored(spark, sf_dir)
+    data = rows.filter("mean_read_cov > 2").groupBy("contig", "motif", "mod_type").agg(F.count("*").alias("n"))
+    dims = {c: rows.select(c) for c in ("contig", "motif", "mod_type")}
+    return joins.grid_summary(data, dims, "contig", "n").withColumn("mean", F.round("mean", 9))
+
+
 @query(
     "J07",
     "SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)",

@@ -248,3 +248,18 @@ def test_reads_without_bases_keep_their_record(spark, rows, tmp_path):
     sinks.write_fastq(reads.coalesce(1), str(tmp_path / "fq"))
     got = rows(seq_io.read_fastq(spark, str(tmp_path / "fq")))
     assert got == [("r1", "t", "ACGT", "@@@@"), ("r2", "", "", ""), ("r3", "", "", ""), ("r4", "u", "A", "I")]
+
+
+def test_a_grid_is_summed_without_its_cells(spark, rows):
+    data = spark.createDataFrame([("a", 1, 5.0), ("a", 2, -1.0), (None, 1, 2.0), ("x", 9, 7.0)], "k string, d int, v double")
+    dims = {"k": spark.createDataFrame([("a",), ("b",), (None,), ("a",)], "k string"), "d": spark.createDataFrame([(1,), (2,), (3,)], "d int")}
+    got = {r["k"]: r for r in joins.grid_summary(data, dims, "k", "v", 1.0).collect()}
+    dense = joins.densify(data.filter("k IS NULL OR k <> 'x'"), [dims["k"], dims["d"]], {"v": 1.0})
+    wanted = {r["k"]: r for r in dense.groupBy("k").agg(F.count("*").alias("cells"), F.sum("v").alias("total"), F.avg("v").alias("mean"), F.min("v").alias("least"), F.max("v").alias("most")).collect()}
+    assert set(got) == set(wanted) == {"a", "b", None}
+    for k, w in wanted.items():
+        assert all(got[k][c] == pytest.approx(w[c]) for c in ("cells", "total", "mean", "least", "most"))
+    by_d = {r["d"]: (r["cells"], r["filled"], r["most"]) for r in joins.grid_summary(data, dims, "d", "v").collect()}
+    assert by_d == {1: (3, 2, 5.0), 2: (3, 1, 0.0), 3: (3, 0, 0.0)}
+    full = {"k": dims["k"].limit(1), "d": dims["d"].filter("d < 3")}
+    assert joins.grid_summary(data.filter("k = 'a'"), full, "k", "v").first()["least"] == -1.0
