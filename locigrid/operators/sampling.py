@@ -6,6 +6,7 @@ the number of partitions. Replicates are a key column, not a loop.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -22,7 +23,7 @@ from locigrid.operators.scans import (
     take_until,
 )
 from locigrid.operators.shape import min_evidence
-from locigrid.session import cut_lineage
+from locigrid.session import cut_lineage, sized
 
 
 def sample_fraction(df: DataFrame, key: Column, share: Column | float, seed: int) -> DataFrame:
@@ -108,11 +109,10 @@ def inject_foreign(
         .result()
         .withColumn("__r", F.col("__r") - 1)
     )
+    ranked = cut_lineage(ranked)
     n_donors = ranked.filter("__donor").groupBy("benchmark").agg(F.count("*").alias("__d"))
     givers = ranked.filter("__donor").select("benchmark", F.col("bin").alias("donor"), F.col("__r").alias("__from"))
-    picks = with_replicates(
-        eligible.select(F.col("bin").alias("donor"), "contig").distinct(), replicates
-    ).withColumn("__h", seeded_hash(seed, "pick", F.col("benchmark"), F.col("contig")))
+    picks = _first_picks(contig_bin, eligible, replicates, seed)
     picks = (
         OrderedScan(picks, ["benchmark", "donor"], ["__h", "contig"], hash_bucket(F.col("__h")))
         .running_sum(F.lit(1), "__pick")
@@ -136,14 +136,44 @@ def inject_foreign(
     usable = F.col("contig").isNotNull() & (F.col("donor") != F.col("bin"))
     failed = F.assert_true(usable, F.lit("no contig left to give"))
     # Bins times replicates rows; both results read them.
-    moves = cut_lineage(moves.filter(failed.isNull()).select("benchmark", "contig", "donor", "bin"))
-    kept = anti(with_replicates(contig_bin, replicates), moves, ["benchmark", "contig"])
+    moves = sized(moves.filter(failed.isNull()).select("benchmark", "contig", "donor", "bin"))
+    # a row becomes one per replicate, so few rows are dealt to all tasks first
+    dealt = contig_bin.repartition(4 * contig_bin.sparkSession.sparkContext.defaultParallelism)
+    kept = anti(with_replicates(dealt, replicates), moves, ["benchmark", "contig"])
     moved = moves.select(
         "benchmark", F.concat(F.lit("contamination_"), F.col("contig")).alias("contig"), "bin"
     )
     return kept.select("benchmark", "contig", "bin").unionByName(moved), moves
 
 
+def _first_picks(contig_bin: DataFrame, eligible: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """Per replicate and donor the eligible contigs of least hash, at least as many as it can have to give.
+
+    Givers take turns, so a donor gives no contig beyond the round in which all
+    bins are served; the sizes of the donors name that round for all replicates.
+    """
+    bins = contig_bin.select("bin").distinct()
+    owned = eligible.select(F.col("bin").alias("donor"), "contig").distinct()
+    owned = owned.join(bins.select(F.col("bin").alias("donor")), "donor", "left_semi")
+    sizes = cut_lineage(owned.groupBy("donor").agg(F.count("*").alias("__n")))
+    # One row per size: far fewer than contigs.
+    alike = sizes.groupBy("__n").agg(F.count("*")).collect()
+    wanted, most = bins.count(), max((n for n, _ in alike), default=1)
+    turns = bisect_left(range(most), wanted, lo=1, key=lambda k: sum(min(n, k) * d for n, d in alike))
+    # about twice as many as needed have a hash below this share of all; leading hex digits of one hash
+    share = F.least(F.lit(1.0), (2.0 * turns + 40) / F.col("__n"))
+    limit = F.when(share < 1, F.lpad(F.lower(F.hex((share * 4294967296).cast("long"))), 8, "0")).otherwise("g")
+    limits = sizes.select("donor", limit.alias("__limit"))
+    hashed = with_replicates(owned.join(sized(limits), "donor"), replicates).withColumn(
+        "__h", seeded_hash(seed, "pick", F.col("benchmark"), F.col("contig"))
+    )
+    picks = cut_lineage(hashed.filter(F.col("__h") < F.col("__limit")).drop("__limit"))
+    found = picks.groupBy("donor", "benchmark").agg(F.count("*").alias("__found"))
+    short = with_replicates(sizes, replicates).join(found, ["donor", "benchmark"], "left")
+    short = short.filter(F.coalesce("__found", F.lit(0)) < F.least(F.col("__n"), F.lit(turns)))
+    return picks if short.isEmpty() else hashed.drop("__limit")
+
+
 def choose_keys(
     df: DataFrame, key: str, seed: int, exclude: Sequence[str] = (), share: float = 0.5
 ) -> DataFrame:

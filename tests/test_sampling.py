@@ -1,3 +1,5 @@
+from hashlib import md5
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,3 +115,23 @@ def test_count_check(spark):
     assert {r["s"]: r["ok"] for r in checked.collect()} == {"a": True, "b": False, "c": True}
     with pytest.raises(Exception, match="too few reads"):
         sampling.require_counts(checked).collect()
+
+
+def test_only_picks_that_can_be_given_are_ranked(spark, rows):
+    sizes = {"a": 900, "b": 700, "c": 2, "d": 30, "e": 30, "f": 30, "g": 30}
+    pairs = [(f"{b}{i}", b) for b, n in sizes.items() for i in range(n)]
+    table = spark.createDataFrame(pairs, "contig string, bin string")
+    donors = "abc"
+    few = sampling._first_picks(table, table.filter(F.col("bin").isin(*donors)), 4, 42)
+    assert few.count() < 4 * 200
+    digest = lambda *parts: md5("|".join(map(str, parts)).encode()).hexdigest()
+    expected = set()
+    for r in range(4):
+        ranked = sorted(donors, key=lambda b: digest(42, r, b))
+        picks = {d: sorted((c for c, b in pairs if b == d), key=lambda c: digest(42, "pick", r, c)) for d in donors}
+        expected |= {(r, picks[ranked[(k + 1) % 3]][0], ranked[(k + 1) % 3], b) for k, b in enumerate(ranked)}
+        spare = [(picks[d][turn], d) for turn in range(1, 900) for d in ranked if turn < len(picks[d])]
+        others = sorted("defg", key=lambda b: digest(42, r, b))
+        expected |= {(r, *given, b) for given, b in zip(spare, others)}
+    moves = sampling.inject_foreign(table, table.filter(F.col("bin").isin(*donors)), 4)[1]
+    assert {tuple(m) for m in moves.select("benchmark", "contig", "donor", "bin").collect()} == expected
