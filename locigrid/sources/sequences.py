@@ -28,16 +28,19 @@ def read_fasta(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     )
 
 
+# Lines that one window holds, as a power of two.
+LINE_BITS = 16
+
+
 def read_fasta_spans(spark: SparkSession, path: str | Sequence[str], span: int = 1 << 16) -> DataFrame:
     """``contig, record, start, seq``: sequences in spans of ``span`` letters, the last of a record shorter.
 
     ``start`` counts from 0 and ``record`` tells equal names apart. Lines, not
     records, are the rows, so one long record is read and joined by many tasks;
-    headers and offsets reach the lines by a scan that carries one row per split.
+    headers and offsets reach the lines by a scan that carries one row per bucket.
     """
     lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("mid"),
         F.regexp_replace("value", r"\s+$", "").alias("value"),
     )
@@ -46,7 +49,8 @@ def read_fasta_spans(spark: SparkSession, path: str | Sequence[str], span: int =
     # written, so that every pass agrees on the numbers
     name = F.when(head, F.regexp_substr("value", F.lit(r"(?<=^>)\S+")))
     lines = written(lines.withColumns({"head": head, "letters": letters, "name": name}).drop("value"), "lines")
-    scan = OrderedScan(lines, ["file"], ["mid"], F.col("block"))
+    # a split has too many lines for one window; a bucket lies inside a split
+    scan = OrderedScan(lines, ["file"], ["mid"], F.shiftright("mid", LINE_BITS))
     scan = scan.running_sum(F.length("letters").cast("long"), "upto")
     placed = scan.fill_down(F.when(F.col("head"), F.struct("mid", "name")), "at").result()
     begin = placed.filter("head").select("file", F.col("mid").alias("record"), F.col("upto").alias("before"))

@@ -233,6 +233,24 @@ def test_a_long_record_is_read_and_cut_by_many_tasks(spark, tmp_path):
         assert found == sorted((c, i + 1, i + size, s[i : i + size]) for c, s in records.items() for i in range(0, len(s) - size + 1, step))
 
 
+def test_lines_of_one_split_are_numbered_in_small_buckets(spark, tmp_path, monkeypatch):
+    records = {f"r{k}": "ACGT" * (k * 7) for k in range(12)}
+    write_text(tmp_path / "y.fa", "".join(f">{c}\n" + "".join(s[i : i + 9] + "\n" for i in range(0, len(s), 9)) for c, s in records.items()))
+    monkeypatch.setattr(seq_io, "LINE_BITS", 2)
+    held = []
+    running = seq_io.OrderedScan.running_sum
+
+    def counted(scan, value, name):
+        held.extend(r["count"] for r in scan.df.groupBy("__group", "__bucket").count().collect())
+        return running(scan, value, name)
+
+    monkeypatch.setattr(seq_io.OrderedScan, "running_sum", counted)
+    spans = seq_io.read_fasta_spans(spark, str(tmp_path / "y.fa"), 50)
+    got = sorted((r["contig"], r["start"], r["seq"]) for r in spans.collect())
+    assert got == sorted((c, i, s[i : i + 50]) for c, s in records.items() for i in range(0, len(s), 50))
+    assert len(held) > 10 and max(held) <= 4
+
+
 def test_ordered_text_of_one_large_group(spark):
     rows = spark.range(20_000).selectExpr("'g' AS g", "id", "concat('<', id, '>') AS s").union(spark.createDataFrame([("h", 1, None), (None, 2, "b"), (None, 1, "a")], "g string, id long, s string"))
     parts = shape.ordered_text(rows, ["g"], ["id"], "s", 1_000).collect()
