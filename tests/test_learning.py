@@ -95,6 +95,18 @@ def test_clusters_in_several_blocks(spark, monkeypatch):
     assert cut == whole and len(cut) == 49
 
 
+def test_one_search_decides_many_merges(spark, monkeypatch):
+    rounds, one = [], linkage._round
+    monkeypatch.setattr(linkage, "_round", lambda *a: rounds.append(1) or one(*a))
+    x = np.random.default_rng(5).normal(size=(200, 2)) + 20 * np.arange(200)[:, None] // 50 * [1, 0]
+    leaves = spark.createDataFrame([(0, i, r.tolist(), 1) for i, r in enumerate(x)], "g long, id long, c array<double>, w long")
+    key = lambda r: (round(r["height"], 9), r["into"], r["gone"])
+    cut, whole = (sorted(map(key, linkage.merge_tree(leaves, linkage.ward_cost, t).collect())) for t in (40, 200))
+    assert cut == whole and len(cut) == 199
+    # merging only pairs that are each other's nearest takes five rounds
+    assert len(rounds) <= 1
+
+
 def test_linear_discriminant_formula(spark):
     frame, x, y = blobs(spark, gap=1.0)
     model = classify.LinearDiscriminant.fit(frame)

@@ -62,6 +62,32 @@ def test_cheapest_mate_equals_that_of_all_pairs(cost, d):
     assert all(m == min(b[every[i] == every[i].min()]) for i, m in enumerate(mate))
 
 
+@pytest.mark.parametrize("cost", [linkage.ward_cost, linkage.average_cost])
+@pytest.mark.parametrize("grid", [False, True])
+def test_merges_beyond_doubt_are_those_of_the_whole_tree(cost, grid):
+    import pandas as pd
+
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 9, (400, 3)).astype(float) if grid else rng.normal(size=(400, 3))
+    w, zero, ids = rng.integers(1, 4, 400).astype(float), np.zeros(400), 1 + 3 * rng.permutation(400)
+    side = (x, w, zero)
+    place, least, bound = tiles.cheapest_few(side, side, ids, ids, cost, 8)
+    every = cost(linkage._gaps(x, x), w[:, None], w[None, :], 0, 0)
+    np.fill_diagonal(every, np.inf)
+    assert np.allclose(np.sort(least, axis=1), np.sort(every, axis=1)[:, :8])
+    np.put_along_axis(every, place, np.inf, axis=1)
+    assert (bound <= every.min(axis=1) * (1 + 1e-9)).all()
+    rows = pd.DataFrame({"g": 0, "id": ids, "c": list(x), "w": w, "s": 0.0, "h": 0.0, "mates": [ids[p] for p in place], "costs": list(least), "bound": bound})
+    whole = {(a, b): h for a, b, h in linkage.finish(rows.copy(), cost)[["into", "gone", "height"]].itertuples(index=False)}
+    for part in (rows, rows.iloc[::2]):
+        both = linkage.merge_near(part, cost)
+        made = both[both["into"].notna()]
+        assert both["id"].notna().sum() + len(made) == len(part)
+        if not grid:
+            # on a grid equal costs leave the names of later merges open
+            assert len(made) and all(whole[a, b] == pytest.approx(h) for a, b, h in made[["into", "gone", "height"]].itertuples(index=False))
+
+
 @pytest.mark.parametrize("limit", [np.inf, 1.2])
 def test_lightest_edge_equals_that_of_all_pairs(limit):
     x, y = rows(2, 0.0)
