@@ -38,6 +38,22 @@ def test_closest_and_near_rows_equal_those_of_all_pairs(d, offset, p):
     assert all(of[i] == of[1000 + j] for i, j in zip(*(v.tolist() for v in np.nonzero(near))))
 
 
+@pytest.mark.parametrize("scale", [1.0, 1e-30, 1e100])
+def test_short_numbers_lose_no_pair(scale):
+    q, b = (v * scale for v in rows(64, 0.0))
+    squares = tiles._distances(q, b, 2.0) ** 2
+    limit = np.sort(squares, axis=1)[:, 9]
+    product, every = tiles.Products(q, b), np.arange(len(q))
+    assert product.fits(every, limit)
+    hits, found, off = product.below(every, np.arange(len(b)), limit)
+    assert set(np.flatnonzero(squares <= limit[:, None])) <= set(hits)
+    assert (np.abs(found - squares.ravel()[hits]) <= off[hits // len(b)]).all()
+    assert len(hits) < 11 * len(q)
+    # far from the middle they are not used
+    far = np.vstack([b, np.full((1, 64), 1e6 * scale)])
+    assert not tiles.Products(q, far).fits(every, limit)
+
+
 def test_rows_that_are_no_numbers_come_last():
     q, b = rows(3, 0.0)
     b[3], b[4, 1] = np.nan, np.inf
