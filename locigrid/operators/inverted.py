@@ -2,8 +2,8 @@
 
 Every row is in the list of its nearest centre and leaves there a code of one
 byte for every two numbers of its difference from the centre. A query reads the
-codes of the lists it probes, estimates distances from tables of a few hundred
-numbers, and only a short list of rows is compared exactly. Centres and codes are
+codes of the lists it probes, estimates distances by the vectors the codes stand
+for, and only a short list of rows is compared exactly. Centres and codes are
 fitted on a bounded sample; the index covers all rows. ``neighbours.nearest``
 stays the exact way.
 """
@@ -19,17 +19,20 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from locigrid.operators.neighbours import _matrix
+from locigrid.operators import tiles
+from locigrid.operators.neighbours import Cells, _matrix
 from locigrid.operators.scans import seeded_hash
-from locigrid.session import sized, written
+from locigrid.session import written
 
 # Rows the centres and codes are fitted on, and the most centres.
 SAMPLE = 8_192
 MAX_LISTS = 1_024
 # Numbers that share one byte of code.
 PER_CODE = 2
-# Rows of a list compared as one block, and queries that meet it at a time.
-BLOCK = 8_192
+# Rows of near lists compared as one block, and queries that meet it at a time.
+BLOCK = 32_768
+# Distances worked out at a time.
+TABLE = 1 << 16
 # Share of the true neighbours of sampled rows that the probed lists must hold.
 HELD = 0.97
 
@@ -37,9 +40,33 @@ HELD = 0.97
 def _powers(a: np.ndarray, b: np.ndarray, p: float) -> np.ndarray:
     """Sums of the p-th powers of the differences of all rows of ``a`` from all rows of ``b``."""
     out = np.zeros((len(a), len(b)))
-    for j in range(a.shape[1]):
-        step = np.abs(a[:, j, None] - b[None, :, j])
-        out += step * step if p == 2 else step**p
+    # as many rows at a time as stay at hand
+    lot = max(1, TABLE // max(len(b), 1))
+    for low in range(0, len(a), lot):
+        part = a[low : low + lot]
+        for j in range(a.shape[1]):
+            step = np.abs(part[:, j, None] - b[None, :, j])
+            out[low : low + lot] += step * step if p == 2 else step * step * step if p == 3 else step**p
+    return out
+
+
+def _homes(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The nearest centre of each row by Euclid, the first of equal ones. Products choose, and what they leave open is measured."""
+    out = np.zeros(len(x), np.int64)
+    lot = max(1, 4 * TABLE // max(len(centres), 1))
+    for low in range(0, len(x), lot):
+        part = x[low : low + lot]
+        product = tiles.Products(part, centres)
+        if product.finite:
+            squares = product.squares(slice(None), slice(None))
+            home = squares.argmin(axis=1)
+            most = squares[np.arange(len(part)), home] + 2 * product.error
+            open_ = np.flatnonzero((squares <= most[:, None]).sum(axis=1) > 1)
+        else:
+            home, open_ = np.zeros(len(part), np.int64), np.arange(len(part))
+        if len(open_):
+            home[open_] = _powers(part[open_], centres, 2).argmin(axis=1)
+        out[low : low + lot] = home
     return out
 
 
@@ -48,7 +75,7 @@ def _kmeans(x: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
     centres = np.unique(x, axis=0)
     centres = centres[np.linspace(0, len(centres) - 1, min(k, len(centres))).astype(int)]
     for _ in range(rounds):
-        at = _powers(x, centres, 2).argmin(axis=1)
+        at = _homes(x, centres)
         size = np.bincount(at, minlength=len(centres))
         total = np.zeros_like(centres)
         np.add.at(total, at, x)
@@ -73,7 +100,7 @@ class Codes:
         picked = base.select("features").orderBy(order).limit(SAMPLE).collect()
         x = np.array([r[0] for r in picked], float).reshape(len(picked), -1)
         centres = _kmeans(x, max(1, min(MAX_LISTS, math.isqrt(max(n, 1)))))
-        home = _powers(x, centres, 2).argmin(axis=1)
+        home = _homes(x, centres)
         rest = x - centres[home]
         books = [_kmeans(rest[:, j : j + PER_CODE], 256) for j in range(0, x.shape[1], PER_CODE)]
         # where, in the order of a query's lists, its true neighbours in the sample are
@@ -86,20 +113,18 @@ class Codes:
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """List and code of each row."""
-        home = _powers(x, self.centres, 2).argmin(axis=1)
+        home = _homes(x, self.centres)
         rest = x - self.centres[home]
         codes = np.empty((len(x), len(self.books)), np.uint8)
         for j, book in enumerate(self.books):
-            codes[:, j] = _powers(rest[:, PER_CODE * j : PER_CODE * (j + 1)], book, 2).argmin(axis=1)
+            codes[:, j] = _homes(rest[:, PER_CODE * j : PER_CODE * (j + 1)], book)
         return home, codes
 
-    def estimate(self, query: np.ndarray, home: int, codes: np.ndarray) -> np.ndarray:
-        """Estimated p-th powers of the distances of one query from the coded rows of a list."""
-        rest = query - self.centres[home]
-        out = np.zeros(len(codes))
+    def decode(self, home: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The vectors that lists and codes stand for."""
+        out = self.centres[home]
         for j, book in enumerate(self.books):
-            table = _powers(rest[None, PER_CODE * j : PER_CODE * (j + 1)], book, self.p)[0]
-            out += table[codes[:, j]]
+            out[:, PER_CODE * j : PER_CODE * (j + 1)] += book[codes[:, j]]
         return out
 
 
@@ -120,56 +145,71 @@ def nearest_by_codes(base: DataFrame, queries: DataFrame, k: int, p: float = 2.0
     """``id, neighbour, distance, rank``: for each query the ``k`` nearest of its short list, ties by id.
 
     ``shortlist`` rows per query, ten times ``k`` unless given, are compared
-    exactly. A list of many rows is met in blocks, and queries are dealt to
-    parts, so that no task holds a whole list; a block returns a short list per
+    exactly. Near lists are met together in blocks, a list of many rows in
+    several, and queries are dealt to parts; a block returns a short list per
     query, never its pairs.
     """
     most = shortlist or 10 * k
     base = written(base.select("id", F.col("features").cast("array<double>").alias("features")), "base")
-    queries = written(queries.select(F.col("id").alias("query"), F.col("features").cast("array<double>").alias("asked")), "asked")
+    queries = written(queries.select(F.col("id").alias("query"), F.col("features").cast("array<double>").alias("features")), "asked")
     if base.isEmpty():
         return queries.select(F.col("query").alias("id"), F.lit(None).cast(base.schema["id"].dataType).alias("neighbour"), F.lit(0.0).alias("distance"), F.lit(0).alias("rank")).limit(0)
     codes = codes or Codes.fit(base, k, p)
-    index = indexed(base, codes)
-
-    @F.pandas_udf("array<int>")
-    def lists(asked: pd.Series) -> pd.Series:
+    index = indexed(base, codes).withColumnRenamed("list", "cell")
+    lists = len(codes.centres)
+    cells = Cells(codes.centres, 2.0, BLOCK)
+    cells.count = np.zeros(lists, int)
+    for r in index.groupBy("cell").count().collect():  # one row per list
+        cells.count[r[0]] = r[1]
+    cells.pack()
+
+    @F.pandas_udf("struct<lists array<int>, reached array<int>>")
+    def probed(asked: pd.Series) -> pd.DataFrame:
         d = _powers(_matrix(asked), codes.centres, p)
-        return pd.Series(list(np.argsort(d, axis=1, kind="stable")[:, : codes.probes].astype("int32")))
-
-    probed = queries.withColumn("list", F.explode(lists("asked")))
-    # one row per list
-    sizes = index.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    wanted = probed.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    sizes = sized(sizes.join(wanted, "list"))
-    left = index.join(sizes, "list").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    left = left.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("blocks", "parts")
-    right = probed.join(sizes, "list").withColumn("part", F.pmod(F.xxhash64(F.lit(3), "query"), "parts").cast("int"))
-    right = right.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks", "parts")
+        near = np.argsort(d, axis=1, kind="stable")[:, : codes.probes]
+        reached = [np.unique(np.concatenate([np.arange(cells.first[c], cells.first[c] + cells.split[c]) for c in some if cells.count[c]] or [np.zeros(0, int)])) for some in near]
+        return pd.DataFrame({"lists": list(near.astype("int32")), "reached": [r.astype("int32") for r in reached]})
+
+    wanted = written(queries.withColumn("__p", probed("features")).select("query", "features", "__p.*"), "probed")
     query_type, id_type = (t.dataType.simpleString() for t in (queries.schema["query"], base.schema["id"]))
+    left, right = cells.blocks(index, wanted, "id", "query")
 
     def scan(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if rows.empty or asked.empty:
-            return pd.DataFrame({"query": [], "neighbour": [], "guess": []})
+            return pd.DataFrame({"query": [], "neighbour": [], "guess": [], "block": []})
         rows = rows.sort_values("id", ignore_index=True)
-        code = np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(len(rows), -1)
-        ids, home = rows["id"].to_numpy(), int(rows["list"].iloc[0])
-        out = []
-        for query, features in zip(asked["query"], asked["asked"]):
-            guess = codes.estimate(np.asarray(features, float), home, code)
-            few = np.argpartition(guess, most - 1)[:most] if len(guess) > most else np.arange(len(guess))
-            out.append(pd.DataFrame({"query": query, "neighbour": ids[few], "guess": guess[few]}))
-        return pd.concat(out, ignore_index=True)
-
-    keys = ["list", "block", "part"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(scan, f"query {query_type}, neighbour {id_type}, guess double")
+        home = rows["cell"].to_numpy()
+        coded = codes.decode(home, np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(len(rows), -1))
+        looks = np.zeros((len(asked), lists), bool)
+        some = asked["lists"].to_numpy()
+        looks[np.repeat(np.arange(len(asked)), [len(x) for x in some]), np.concatenate(some)] = True
+        place, guess = tiles.closest(_matrix(asked["features"]), coded, most, p, probed=(looks, home))
+        i, n = np.nonzero(place < len(rows))
+        ids, query = rows["id"].to_numpy()[place[i, n]], asked["query"].to_numpy()[i]
+        return pd.DataFrame({"query": query, "neighbour": ids, "guess": guess[i, n], "block": asked["block"].iloc[0]})
+
+    found = left.cogroup(right).applyInPandas(scan, f"query {query_type}, neighbour {id_type}, guess double, block int")
     # the short lists of a query's blocks
     by_guess = Window.partitionBy("query").orderBy("guess", "neighbour")
-    few = found.withColumn("n", F.row_number().over(by_guess)).filter(F.col("n") <= most).select("query", "neighbour")
-    pairs = few.join(base.select(F.col("id").alias("neighbour"), "features"), "neighbour").join(queries, "query")
-    gap = F.zip_with("asked", "features", lambda a, b: F.abs(a - b))
-    power = F.aggregate(F.transform(gap, lambda g: F.pow(g, F.lit(float(p)))), F.lit(0.0), lambda acc, v: acc + v)
-    measured = pairs.select("query", "neighbour", F.pow(power, F.lit(1.0 / p)).alias("distance"))
+    few = found.withColumn("n", F.row_number().over(by_guess)).filter(F.col("n") <= most)
+    # ``most`` rows per query
+    few = few.groupBy("query").agg(F.collect_list("neighbour").alias("few"), F.collect_set("block").alias("reached"))
+    few = written(few.join(queries, "query"), "few")
+    left, right = cells.blocks(index.select("id", "cell").join(base, "id"), few, "id", "query")
+
+    def measure(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        if rows.empty or asked.empty:
+            return pd.DataFrame({"query": [], "neighbour": [], "distance": []})
+        rows = rows.sort_values("id", ignore_index=True)
+        ids, some = rows["id"].to_numpy(), asked["few"].to_numpy()
+        i, names = np.repeat(np.arange(len(asked)), [len(x) for x in some]), np.concatenate(some)
+        j = np.minimum(np.searchsorted(ids, names), len(ids) - 1)
+        here = ids[j] == names
+        i, j = i[here], j[here]
+        distance = tiles.pair_distances(_matrix(asked["features"]), _matrix(rows["features"]), i, j, p)
+        return pd.DataFrame({"query": asked["query"].to_numpy()[i], "neighbour": ids[j], "distance": distance})
+
+    measured = left.cogroup(right).applyInPandas(measure, f"query {query_type}, neighbour {id_type}, distance double")
     nearest_first = Window.partitionBy("query").orderBy("distance", "neighbour")
     ranked = measured.withColumn("rank", F.row_number().over(nearest_first)).filter(F.col("rank") <= k)
     return ranked.select(F.col("query").alias("id"), "neighbour", "distance", "rank")

@@ -136,3 +136,25 @@ def test_codes_find_most_neighbours_and_compare_few(spark, monkeypatch, p):
     assert all(pairs[i, i][0] == 1 for i in range(10, 1_500, 10))
     assert inverted.nearest_by_codes(df.limit(0), asked, 3).count() == 0
     assert inverted.nearest_by_codes(df.limit(2), asked.limit(1), 3).count() == 2
+
+
+def test_short_lists_are_those_nearest_by_code_in_probed_lists(spark):
+    from locigrid.operators import inverted
+
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(rng.normal(size=(900, 8)))], "id long, features array<double>")
+    codes = inverted.Codes.fit(df, 5)
+    assert len(codes.centres) == 30 and codes.probes > 2
+    x = np.array([r["features"] for r in df.orderBy("id").collect()])
+    home, code = codes.encode(x)
+    guess = np.abs(x[:, None, :] - codes.decode(home, code)[None, :, :]) ** 2
+    near = np.argsort(inverted._powers(x, codes.centres, 2.0), axis=1, kind="stable")[:, : codes.probes]
+    looks = np.zeros((900, 30), bool)
+    np.put_along_axis(looks, near, True, axis=1)
+    place, _ = inverted.tiles.closest(x, codes.decode(home, code), 20, 2.0, probed=(looks, home))
+    guess = np.where(looks[:, home], guess.sum(axis=2), np.inf)
+    assert (np.sort(place, axis=1) == np.sort(np.argsort(guess, axis=1, kind="stable")[:, :20], axis=1)).mean() > 0.999
+    got = {(r["id"], r["neighbour"]) for r in inverted.nearest_by_codes(df, df, 5, 2.0, 20, codes).collect()}
+    exact = np.where(place < 900, np.linalg.norm(x[:, None] - x[place], axis=2), np.inf)
+    best = np.take_along_axis(place, np.lexsort((place, exact), axis=1)[:, :5], 1)
+    assert got == {(i, j) for i, row in enumerate(best.tolist()) for j in row}

@@ -155,3 +155,36 @@ def test_last_merges_are_always_the_cheapest_pair():
         i, j = int(r["into"]), int(r["gone"])
         centre[i] = (w[i] * centre[i] + w[j] * centre[j]) / (w[i] + w[j])
         w[i], alive[j] = w[i] + w[j], False
+
+
+@pytest.mark.parametrize("p", [1.5, 2.0, 3.0])
+@pytest.mark.parametrize("far", [False, True])
+def test_closest_looks_at_probed_groups_only(p, far):
+    q, b = rows(5, 0.0)
+    if far:
+        # without finite products all pairs are measured
+        b[0] = np.inf
+    rng = np.random.default_rng(2)
+    group, looks = rng.integers(0, 9, len(b)), rng.random((len(q), 10)) < 0.4
+    looks[0], looks[1], looks[:, 9], group[0] = False, np.arange(10) == 4, False, 9
+    every = np.where(looks[:, group], tiles._distances(q, b, p), np.inf)
+    order = np.argsort(every, axis=1, kind="stable")[:, :60]
+    place, distance = tiles.closest(q, b, 60, p, probed=(looks, group))
+    found = np.take_along_axis(every, order, 1) < np.inf
+    assert not found[0].any() and not found[1].all()
+    assert (place[found] == order[found]).all() and (place[~found] == len(b)).all()
+    assert (distance[found] == np.take_along_axis(every, order, 1)[found]).all()
+
+
+@pytest.mark.parametrize("scale, offset", [(1.0, 0.0), (1e-30, 0.0), (1e60, 0.0), (1.0, 1e4)])
+def test_cubes_by_products_lose_no_pair_and_let_few_others_pass(scale, offset):
+    q, b = (v * scale for v in rows(64, offset))
+    every = tiles._distances(q, b, 3.0)
+    limit = np.sort(every, axis=1)[:, 9]
+    cubes = tiles.Cubes(q, b, float(np.median(limit)))
+    hits = cubes.below(np.arange(len(q)), np.arange(len(b)), limit)
+    assert set(np.flatnonzero(every <= limit[:, None])) <= set(hits)
+    by_squares, _, _ = tiles.Products(q, b).below(np.arange(len(q)), np.arange(len(b)), limit**2 * tiles._most(3.0, 64))
+    assert len(hits) < len(by_squares) / 2
+    same = tiles.Cubes(q[:1], q[:1], 1.0)
+    assert len(same.below(np.arange(1), np.arange(1), np.zeros(1))) == 1
